@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from meshwave.llm import langid, packing
+from meshwave.llm import langid, near_dedup, packing, passages, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_language_id": langid.op4_language_id,
+    "op9_substring_dedup": passages.op9_substring_dedup,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.OP1_SQL}
