@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
+BATCH = 8 << 20
 SIMILARITY = 0.8
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -138,8 +139,10 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[np
     return mix(h), begin
 
 
-def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], limit: int = 4 << 20) -> DataFrame:
-    """Run make()'s function over slices of about `limit` bytes of `column`, in Arrow batches. One task holds one slice at a time."""
+def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], limit: int = 2 << 20) -> DataFrame:
+    """Run make()'s function over slices of about `limit` bytes of `column`, in Arrow batches of BATCH bytes. One task holds one batch
+    and one slice at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
     def run(batches):
         f = make()

@@ -117,7 +117,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         return f
 
     joined = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    return map_texts(joined.select("a", "b", "ta", "tb"), "ta", "a long, b long", make, 2 << 20)
+    return map_texts(joined.select("a", "b", "ta", "tb"), "ta", "a long, b long", make, 1 << 20)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
