@@ -10,12 +10,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 BATCH = 8 << 20
+FILTER_BITS = 26
 SIMILARITY = 0.8
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -155,7 +157,28 @@ def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callab
     return df.mapInArrow(run, schema)
 
 
-def text_classes(docs: DataFrame) -> DataFrame:
-    """key (a digest of the text), rep (smallest doc_id), copies: one row for each distinct text; summed before the shuffle."""
-    key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return docs.select("doc_id", key.alias("key")).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+def maybe_in(ids: DataFrame, column: str = "doc_id"):
+    """A predicate on `column`: true for the ids (distinct, of that name) and for few others; false for nulls. It filters before a shuffle;
+    an exact join follows it.
+
+    A Bloom filter of 16 bits an id, at most 2^FILTER_BITS bits (8 MB), goes to the executors. With more ids than that is good for it is
+    true more often, at last always.
+    """
+    spark = ids.sparkSession
+    bits = min(FILTER_BITS, max(10, int(np.ceil(np.log2(16 * max(ids.count(), 1))))))
+    slots = F.array(*(F.pmod(F.xxhash64(F.lit(i), F.col(column).cast("long")), F.lit(1 << bits)) for i in range(4)))
+    rows = ids.select(F.explode(slots).alias("_s")).groupBy(F.shiftright("_s", 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("_s"), F.lit(32)).cast("int"))).alias("bits")).toPandas()
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint32)
+    handed = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def has(s: pd.Series) -> pd.Series:
+        at = np.stack(s.to_list()).astype(np.int64) if len(s) else np.zeros((0, 4), np.int64)
+        return pd.Series(((handed.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(1))
+
+    return F.col(column).isNotNull() & has(slots)
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    return docs.where(maybe_in(ids, column))
