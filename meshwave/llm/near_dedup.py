@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwave.llm.common import SIMILARITY, map_texts, mix, shingles, stage_table, text_bytes, word_bounds, word_hashes
+from meshwave.llm.common import SIMILARITY, map_texts, mix, only_ids, shingles, stage_table, text_bytes, word_bounds, word_hashes
 from meshwave.llm.components import components
 
 BANDS = 25
@@ -128,8 +128,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     A pair of exactly the similarity 0.8 shares none of the 25 bands with probability 5e-5.
 
     Each distinct text counts once. Every text is compared with the smallest id of each of its bands, the most shared one first; then,
-    as long as a band holds texts of more than one component, those outside the component of its smallest id are the queries, in blocks
-    of BLOCK for each band, against the band's other components. So no two similar texts of one band stay apart, and links inside
+    as long as a band holds texts of more than one component, those outside the component of its smallest id are queries against the
+    band's other components: one of each band, then two, four and so on up to BLOCK, until all have been. So no two similar texts of one band stay apart, and links inside
     a component are not asked for.
     """
     spark = docs.sparkSession
@@ -143,8 +143,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     led = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "lead")
     members = stage_table(banded.join(led, "band"), "bands")  # band, rep, lead: of bands with more than one text
     pairs = stage_table(members.where("rep <> lead").groupBy(F.col("lead").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n")), "pairs")
-    involved = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = stage_table(involved.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").join(reps.select("rep", "key"), "rep").where(F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("key")).dropDuplicates(["rep"]).select("rep", "text"), "texts")
+    involved = stage_table(members.select("rep").distinct(), "involved")
+    texts = stage_table(involved.join(only_ids(docs.select(F.col("doc_id").alias("rep"), "text"), involved, "rep"), "rep").join(reps.select("rep", "key"), "rep").where(F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("key")).dropDuplicates(["rep"]).select("rep", "text"), "texts")
 
     # the most shared leader of each text first
     first = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
@@ -160,19 +160,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         links = links.union(more)
         found = stage_table(components(links), "components")
 
-    # bands that still hold several components: the texts outside their leader's are the queries, in blocks
-    mixed = labelled(labelled(members, "rep", "c"), "lead", "cl")
-    queries = stage_table(mixed.where("c <> cl").select("band", F.col("rep").alias("q"), F.row_number().over(Window.partitionBy("band").orderBy("rep")).alias("at")), "queries")
-    most = queries.agg(F.max("at")).first()[0] or 0
-    for block in range(0, most, BLOCK):
-        mixed = labelled(members, "rep", "c")
-        now = labelled(queries.where((F.col("at") > block) & (F.col("at") <= block + BLOCK)).select("band", "q"), "q", "cq")
-        met = now.join(mixed, "band").where("rep <> lead and c <> cq")
+    # bands that still hold several components: texts outside their leader's are queries, twice as many of a band each time
+    asked = stage_table(members.limit(0).select("band", F.col("rep").alias("q")), "asked")
+    block = 1
+    while True:
+        mixed = labelled(labelled(members, "rep", "c"), "lead", "cl")
+        left = mixed.where("c <> cl").select("band", F.col("rep").alias("q"), F.col("c").alias("cq")).join(asked, ["band", "q"], "left_anti")
+        now = stage_table(left.withColumn("at", F.row_number().over(Window.partitionBy("band").orderBy("q"))).where(F.col("at") <= block).drop("at"), "queries")
+        if not now.head(1):
+            break
+        met = now.join(mixed.select("band", "rep", "lead", "c"), "band").where("rep <> lead and c <> cq")
         met = met.select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         more = stage_table(verify(likely(met, reps), texts, similarity), "links")
         if more.head(1):
             links = links.union(more)
             found = stage_table(components(links), "components")
+        asked = asked.union(now.select("band", "q"))
+        block = min(2 * block, BLOCK)
 
     classes = labelled(texts_of.select("key", "rep"), "rep", "class_id").select("key", "class_id")
     out = signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
