@@ -216,15 +216,15 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
                 bounds.append(first[1:] + bounds[-1][-1])
             scores, first = np.concatenate(parts), np.concatenate(bounds)
             begin, end = (np.concatenate([x[i] for x in places]) for i in (0, 1))
-            path = viterbi(scores, first, switch).astype(np.int64) if k else np.zeros(0, np.int64)
+            path = viterbi(scores, first, switch).astype(np.int64) if k else np.zeros(len(scores), np.int64)
             n = batch.num_rows
             of = np.repeat(np.arange(n), np.diff(first))
             letters = np.bincount(of * max(k, 1) + path, weights=(end - begin), minlength=n * max(k, 1)).reshape(n, max(k, 1)) if k else np.zeros((n, 1))
             best = letters.argmax(1)
             total = letters.sum(1)
             ok = batch.column("_has_letter").to_numpy(zero_copy_only=False) & (total > 0)
-            turn = np.ones(len(path), bool)
-            turn[1:] = (path[1:] != path[:-1]) | (of[1:] != of[:-1])
+            turn = np.full(len(path), k > 0)
+            turn[1:] &= (path[1:] != path[:-1]) | (of[1:] != of[:-1])
             cols = [batch.column(c) for c in names] + [
                 pa.array([m.langs[b] if o else "und" for b, o in zip(best, ok, strict=True)], pa.string()),
                 pa.array(np.where(ok, letters[np.arange(n), best] / np.maximum(total, 1), 0.0)),

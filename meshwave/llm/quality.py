@@ -131,9 +131,14 @@ def train(labelled: DataFrame, label: str, limit: int = TRAIN_LIMIT) -> Model |
 
         return f
 
-    counted = map_texts(chosen.where("p % 2 = 0"), "text", "key long, n long", count, 1 << 20).groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    key, n = counted["key"].to_numpy(np.int64), counted["n"].to_numpy(float)
-    docs = np.array([n[key == (4 + c) << BITS].sum() for c in (0, 1)])
+    def tally(rows: DataFrame):
+        counted = map_texts(rows, "text", "key long, n long", count, 1 << 20).groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+        key, n = counted["key"].to_numpy(np.int64), counted["n"].to_numpy(float)
+        return key, n, np.array([n[key == (4 + c) << BITS].sum() for c in (0, 1)])
+
+    key, n, docs = tally(chosen.where("p % 2 = 0"))
+    if not docs.all():  # few different texts: one half lacks a class
+        key, n, docs = tally(chosen)
     if not docs.all():
         return None
     odds = np.zeros((2, 1 << BITS), np.float32)
@@ -154,11 +159,11 @@ def train(labelled: DataFrame, label: str, limit: int = TRAIN_LIMIT) -> Model |
 
         return f
 
-    sample = map_texts(chosen.where("p % 2 = 1"), "text", "x array<double>, y int", features, 1 << 20).toPandas()
-    if sample["y"].nunique() == 2:
-        model.weights, model.center, model.scale = _regress(np.stack(sample["x"].to_numpy()), sample["y"].to_numpy(float))
-    else:
-        model.weights[0], model.weights[1] = np.log(docs[1] / docs[0]), 1.0
+    measured = lambda rows: map_texts(rows, "text", "x array<double>, y int", features, 1 << 20).toPandas()
+    sample = measured(chosen.where("p % 2 = 1"))
+    if sample["y"].nunique() < 2:
+        sample = measured(chosen)
+    model.weights, model.center, model.scale = _regress(np.stack(sample["x"].to_numpy()), sample["y"].to_numpy(float))
     return model
 
 

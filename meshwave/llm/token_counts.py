@@ -167,7 +167,7 @@ def stated_edits(text: str = "text"):
     n = F.char_length(F.coalesce(F.col(text), F.lit("")))
     one = lambda at, remove, insert: F.struct(at.cast("int").alias("at"), F.lit(remove).alias("remove"), insert.alias("insert"))
     third = F.floor(n * 3 / 4)
-    return F.array(one(F.floor(n / 4), 7, F.lit("")), one(F.floor(n / 2), 0, F.lit(" [see also: 2nd edition] ")), one(third, 5, F.coalesce(F.reverse(F.substring(F.col(text), third.cast("int"), F.lit(5))), F.lit(""))))
+    return F.array(one(F.floor(n / 4), 7, F.lit("")), one(F.floor(n / 2), 0, F.lit(" [see also: 2nd edition] ")), one(third, 5, F.coalesce(F.reverse(F.substring(F.col(text), third.cast("int") + 1, F.lit(5))), F.lit(""))))
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
