@@ -409,11 +409,11 @@ def bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
     return (y[..., 1:] + y[..., :-1]).sum(-1) * (t[1] - t[0]) / 2
 
 
-def matern(r: np.ndarray, rho: float, sigma: float, nu: float) -> np.ndarray:
-    """General Matern; closed at half-integer nu up to 5/2, else by quadrature."""
+def matern(r: np.ndarray, rho: float, sigma: float, nu: float, closed: bool = True) -> np.ndarray:
+    """General Matern; closed at half-integer nu up to 5/2 (unless told not to), else by quadrature."""
     r = np.asarray(r, float)
     half = {0.5: Exponential, 1.5: Matern32, 2.5: Matern52}.get(nu)
-    if half:
+    if half and closed:
         return half().cov([r], {"rho": rho, "sigma": sigma})
     u = math.sqrt(2 * nu) * np.where(r > 0, r, 1.0) / rho
     return np.where(r > 0, sigma**2 * 2 ** (1 - nu) / math.gamma(nu) * u**nu * bessel_k(nu, u), sigma**2)

@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwave.functions import arrays
@@ -90,6 +90,27 @@ def fit(field: DataFrame, grid: GridSpec, keys: list[str], kernel, start: dict |
     return field.groupBy(*keys).applyInPandas(run, schema)
 
 
+def scan(field: DataFrame, grid: GridSpec, keys: list[str], kernel, theta: DataFrame) -> DataFrame:
+    """keys, theta_id, ll: each field's value at each row of a theta table (theta_id and parameters), for grids too large for
+    relational sums. A field is split over as many tasks as there are slices of 16 rows; each transforms the field once."""
+    names = [p.name for p in kernel.params]
+    table = theta.select("theta_id", *names, F.floor((F.row_number().over(Window.orderBy("theta_id")) - 1) / 16).alias("_slice"))
+
+    def run(obs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(obs) or not len(rows):
+            return pd.DataFrame(columns=[*keys, "theta_id", "ll"])
+        f = arrays.Field(dense(obs, grid, "z"), dense(obs, grid, "g"), grid.delta)
+        ll = [f.value(kernel, {n: float(r[n]) for n in names}) for r in rows[names].to_dict("records")]
+        return pd.DataFrame({k: obs[k].iloc[0] for k in keys} | {"theta_id": rows["theta_id"].to_numpy(), "ll": ll})
+
+    slices = table.select("_slice").distinct()
+    spread = field.crossJoin(F.broadcast(slices))  # a field for each slice of parameter rows
+    wanted = field.select(*keys).distinct().crossJoin(F.broadcast(table))
+    left, right = (t.select(*(F.col(c).alias(c) for c in t.columns)).toDF(*t.columns) for t in (spread, wanted))
+    schema = (_keys(field, keys) + ", " if keys else "") + f"theta_id {theta.schema['theta_id'].dataType.simpleString()}, ll double"
+    return left.groupBy(*keys, "_slice").cogroup(right.groupBy(*keys, "_slice")).applyInPandas(run, schema)
+
+
 def simulate(spark: SparkSession, grid: GridSpec, kernel, theta: dict, n_sims: int, seed: int, mask: np.ndarray | None = None) -> DataFrame:
     """sim_id, i0.., z, g: independent Gaussian fields; a field depends on (seed, sim_id) alone, however tasks are dealt."""
     lam, _ = arrays.embedding(kernel, theta, grid.shape, grid.delta)
@@ -235,6 +256,36 @@ def jmatrix_sample(spark: SparkSession, grid: GridSpec, g: np.ndarray, kernel, t
     return wide.select(F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"`{a}|{b}`").alias("value")) for a in names for b in names))).alias("r")).select("r.*")
 
 
+def jmatrix_sample_bivariate(spark: SparkSession, grid: GridSpec, model, theta: dict, names: list[str], n_sims: int = 400, seed: int = 0) -> DataFrame:
+    """i, j, value: sample covariance of simulated scores of a bivariate model on a full grid."""
+    cg, lags = arrays.spatial_kernel(np.ones(grid.shape)), arrays.lag_grids(grid.shape, grid.delta)
+
+    def spectrum(entries: dict) -> np.ndarray:
+        out = np.empty((*grid.shape, 2, 2), complex)
+        for (a, b), c in entries.items():
+            out[..., a, b] = arrays.transform_lags(np.broadcast_to(c, cg.shape) * cg, grid.shape)
+        return out
+
+    inv = np.linalg.inv(spectrum(model.cov(lags, theta)))
+    turned = [inv @ spectrum(model.grad(lags, theta, n)) for n in names]
+    handed = spark.sparkContext.broadcast((inv, turned))
+
+    def run(batches):
+        inv_here, t_here = handed.value
+        cov = model.cov(lags, theta)
+        for pdf in batches:
+            rows = []
+            for sim in pdf["id"]:
+                z = arrays.simulate_multivariate(cov, 2, grid.shape, np.random.default_rng([seed, int(sim)]))
+                q = inv_here @ arrays.cross_periodogram(z)
+                rows.append([float(np.mean(np.trace(t, axis1=-2, axis2=-1) - np.trace(t @ q, axis1=-2, axis2=-1)).real) for t in t_here])
+            yield pd.DataFrame(rows, columns=[f"s_{n}" for n in names])
+
+    scores = spark.range(n_sims).mapInPandas(run, ", ".join(f"s_{n} double" for n in names))
+    wide = scores.agg(*(F.covar_samp(f"s_{a}", f"s_{b}").alias(f"{a}|{b}") for a in names for b in names))
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"`{a}|{b}`").alias("value")) for a in names for b in names))).alias("r")).select("r.*")
+
+
 def sandwich(h: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Covariance of the estimates: H^-1 J H^-1."""
     inv = np.linalg.inv(h)

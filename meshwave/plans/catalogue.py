@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -266,8 +267,6 @@ def spectral_matern_acv(spark, d):
     """A one-axis grid of 32, by a transform in one task: 97 numbers."""
 
     def run(batches):
-        import pandas as pd
-
         for _ in batches:
             c = K.spectral_acv(lambda f: K.spectral_matern(f, 4.0, 1.5), (32,), (1.0,))
             t = np.concatenate([np.arange(32), np.arange(-31, 0)])
@@ -288,6 +287,17 @@ def kernels_old(spark, d):
     return on_lags(spark).select("t0", "t1", *(r6(c).alias(n) for n, c in forms.items()))
 
 
+@query(f"with {LAG_SQL} select t0, t1, {rnd('2.25e0 * (1e0 + sqrt(3e0) * ' + Q.R + ' / 3e0) * exp(-sqrt(3e0) * ' + Q.R + ' / 3e0)')} as c from h")
+def kernel_matern_general(spark, d):
+    """By quadrature of the Bessel function, at an order where a closed form can check it."""
+
+    @F.pandas_udf("double")
+    def value(h0: pd.Series, h1: pd.Series) -> pd.Series:
+        return pd.Series(K.matern(np.hypot(h0, h1).to_numpy(), 3.0, 1.5, 1.5, closed=False))
+
+    return on_lags(spark).select("t0", "t1", r6(value("h0", "h1")).alias("c"))
+
+
 @query(f"with {COARSE_SQL}, p as (select cast(i0 * 8 + i1 as bigint) as id, * from m) select a.id as a_id, b.id as b_id, {rnd('exp(-sqrt(cast((a.i0 - b.i0) * (a.i0 - b.i0) + (a.i1 - b.i1) * (a.i1 - b.i1) as double)) / 2e0) * a.g * b.g')} as c from p a, p b")
 def covariance_matrix(spark, d):
     cells = G.cells(spark, COARSE).withColumn("g", checker()).withColumn("pt_id", (F.col("i0") * 8 + F.col("i1")).cast("long"))
@@ -483,6 +493,12 @@ def whittle_theta_scan(spark, d):
     return rounded(L.whittle(click_per(spark, d), e, GRID, [], ["theta_id"]), "ll")
 
 
+@query(f"{SCAN_SQL}, {PER} select theta_id, {rnd('avg(ln(e) + p / e)')} as ll from p join e using (k0, k1) group by all")
+def whittle_scan_fft(spark, d):
+    """The same by fast transforms in tasks."""
+    return rounded(W.scan(click(spark, d), GRID, ["field_id"], K.Exponential(), theta_scan(spark)).select("theta_id", "ll"), "ll")
+
+
 @query(f"{SCAN_SQL}, {PER}, w as (select theta_id, avg(ln(e) + p / e) as ll from p join e using (k0, k1) group by all) select theta_id, {rnd('ll')} as ll from w order by w.ll, theta_id limit 1")
 def argmin_theta(spark, d):
     e = S.expected_periodogram(click_kernel(spark, d), GRID, [], K.Exponential(), theta_scan(spark))
@@ -548,6 +564,19 @@ def bivariate_whittle(spark, d):
     return rounded(L.bivariate_whittle(S.cross_periodogram(src.event_pair(spark, d), GRID, []), pair_expected(spark, d), GRID, [], []), "ll")
 
 
+@query(f"""with {Q.PAIR}, {Q.KK}, {PAIR_DFT}, {PAIR_KERNEL}, rr as (select cast(i as int) as theta_id, -0.9e0 + 0.2e0 * i as r from range(10) t(i)),
+e0 as (select a, b, k0, k1, sum(cg * {Q.on_lags(Q.cov('exponential', '1e0', '1e0'))} * cos({Q.LAG_ANGLE})) as e, -sum(cg * {Q.on_lags(Q.cov('exponential', '1e0', '1e0'))} * sin({Q.LAG_ANGLE})) as e_im from cg, kk group by all),
+e as (select a, b, k0, k1, e, e_im from e0), {PAIR_LL},
+w as (select theta_id, e00, e11, r * er as er, r * ei as ei, p00, p11, pr, pi from x join y using (k0, k1), rr)
+select theta_id, {rnd('avg(ln(e00 * e11 - er * er - ei * ei) + (e11 * p00 + e00 * p11 - 2e0 * (er * pr + ei * pi)) / (e00 * e11 - er * er - ei * ei))')} as ll from w group by all""")
+def profile_correlation(spark, d):
+    """The bivariate value over a table of correlations: one plan."""
+    theta = spark.range(10).select(F.col("id").cast("int").alias("theta_id"), (F.lit(-0.9) + 0.2 * F.col("id")).alias("r"), F.lit(1.0).alias("f"), F.lit(1.0).alias("rho"), F.lit(1.0).alias("sigma"))
+    pair = src.event_pair(spark, d)
+    e = S.expected_bivariate(S.spatial_kernel(pair, GRID, [], variates=True), GRID, [], BI_MODEL, theta)
+    return rounded(L.bivariate_whittle(S.cross_periodogram(pair, GRID, []), e, GRID, [], ["theta_id"]), "ll")
+
+
 @query("with full_model as (select 0.3e0 as r, 1.5e0 as f) select 'r' as i, 'r' as j, round(2 * (1 + r * r) / power(1 - r * r, 2), 6) + 0e0 as h from full_model union all select 'r', 'f', round(-2 * r / (f * (1 - r * r)), 6) + 0e0 from full_model union all select 'f', 'r', round(-2 * r / (f * (1 - r * r)), 6) + 0e0 from full_model union all select 'f', 'f', round(2 * (2 - r * r) / (f * f * (1 - r * r)), 6) + 0e0 from full_model")
 def bivariate_fisher(spark, d):
     """On a full grid, where it has a closed form that no grid or base kernel enters."""
@@ -669,6 +698,12 @@ def sampled_jmatrix(spark, d):
 
 query(name="jmatrix_sample")(sampled_jmatrix)
 
+
+@query()
+def jmatrix_sample_bivariate(spark, d):
+    return W.jmatrix_sample_bivariate(spark, G.GridSpec((16, 16)), K.BivariateUniform(K.Exponential()), {"r": 0.3, "f": 1.5, "rho": 2.0, "sigma": 1.0}, ["r", "f"], 400, 3)
+
+
 # ------------------------------------------------------------------ diagnostics, tests, interpolation
 
 
