@@ -129,6 +129,25 @@ def simulate(spark: SparkSession, grid: GridSpec, kernel, theta: dict, n_sims: i
     return spark.range(n_sims).mapInPandas(run, "sim_id long, " + "".join(f"i{a} int, " for a in range(grid.ndim)) + "z double, g double")
 
 
+def simulated_values(spark: SparkSession, grid: GridSpec, kernel, truth: dict, theta: dict, n_sims: int, seed: int) -> DataFrame:
+    """sim_id, ll: one likelihood evaluation of each of n_sims fields, simulated and scored inside a task; only the values leave it."""
+
+    def run(batches):
+        lam = field = None
+        for pdf in batches:
+            out = []
+            for sim in pdf["id"]:
+                if lam is None:
+                    lam, _ = arrays.embedding(kernel, truth, grid.shape, grid.delta)
+                    field = arrays.Field(np.zeros(grid.shape), np.ones(grid.shape), grid.delta)
+                    e = field.e(kernel, theta)
+                p = arrays.periodogram(arrays.simulate(lam, grid.shape, np.random.default_rng([seed, int(sim)])))
+                out.append((int(sim), float(np.mean(np.log(e) + p / e))))
+            yield pd.DataFrame(out, columns=["sim_id", "ll"])
+
+    return spark.range(n_sims).mapInPandas(run, "sim_id long, ll double")
+
+
 def simulate_bivariate(spark: SparkSession, grid: GridSpec, model, theta: dict, n_sims: int, seed: int) -> DataFrame:
     """sim_id, var, i0.., z, g: two variates of a bivariate model."""
 

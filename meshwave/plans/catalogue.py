@@ -773,6 +773,12 @@ def simulate_field(spark, d):
     return W.simulate(spark, GRID, K.Exponential(), EXP, 8, 11)
 
 
+@query()
+def whittle_simulated_512(spark, d):
+    """Likelihood evaluations on a 512 x 512 grid, range 5: one a field."""
+    return W.simulated_values(spark, G.GridSpec((512, 512)), K.Exponential(), {"rho": 5.0, "sigma": 1.0}, {"rho": 5.0, "sigma": 1.0}, 8, 3)
+
+
 @query()
 def simulate_bivariate(spark, d):
     return W.simulate_bivariate(spark, GRID, K.BivariateUniform(K.SquaredExponential()), {"r": 0.4, "f": 1.5, "rho": 3.0, "sigma": 1.0}, 4, 5)
