@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwave.llm.common import SIMILARITY, map_texts, mix, only_ids, shingles, stage_table, text_bytes, word_bounds, word_hashes
+from meshwave.llm.common import SIMILARITY, map_texts, mix, only_ids, partitions, shingles, stage_table, text_bytes, word_bounds, word_hashes
 from meshwave.llm.components import components
 
 BANDS = 25
 ROWS = 5
-BLOCK = 256
+FIRST, BLOCK = 16, 256
+SALT = 8
 #: A pair is verified unless its signatures agree in less than this share: five standard deviations below the similarity asked for.
 LIKELY = 0.62
 _LOW44 = np.uint64((1 << 44) - 1)
@@ -129,7 +130,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     Each distinct text counts once. Every text is compared with the smallest id of each of its bands, the most shared one first; then,
     as long as a band holds texts of more than one component, those outside the component of its smallest id are queries against the
-    band's other components: one of each band, then two, four and so on up to BLOCK, until all have been. So no two similar texts of one band stay apart, and links inside
+    band's other components: FIRST of each band, then BLOCK at a time, until all have been. So no two similar texts of one band stay apart, and links inside
     a component are not asked for.
     """
     spark = docs.sparkSession
@@ -160,41 +161,70 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         links = links.union(more)
         found = stage_table(components(links), "components")
 
-    # bands that still hold several components: texts outside their leader's are queries, twice as many of a band each time
+    # bands that still hold several components: texts outside their leader's are queries, FIRST of a band at once, then BLOCK
     asked = stage_table(members.limit(0).select("band", F.col("rep").alias("q")), "asked")
-    block = 1
+    block = FIRST
     while True:
         mixed = labelled(labelled(members, "rep", "c"), "lead", "cl")
         left = mixed.where("c <> cl").select("band", F.col("rep").alias("q"), F.col("c").alias("cq")).join(asked, ["band", "q"], "left_anti")
         now = stage_table(left.withColumn("at", F.row_number().over(Window.partitionBy("band").orderBy("q"))).where(F.col("at") <= block).drop("at"), "queries")
         if not now.head(1):
             break
-        met = now.join(mixed.select("band", "rep", "lead", "c"), "band").where("rep <> lead and c <> cq")
-        met = met.select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        more = stage_table(verify(likely(met, reps), texts, similarity), "links")
+        around = mixed.join(now.select("band").distinct(), "band").select("band", F.col("rep").alias("id"), "c")
+        met = likely(now.select("band", F.col("q").alias("id"), F.col("cq").alias("c")), around, reps)
+        met = stage_table(met.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        more = stage_table(verify(met, texts, similarity), "links")
         if more.head(1):
             links = links.union(more)
             found = stage_table(components(links), "components")
         asked = asked.union(now.select("band", "q"))
-        block = min(2 * block, BLOCK)
+        block = BLOCK
 
     classes = labelled(texts_of.select("key", "rep"), "rep", "class_id").select("key", "class_id")
     out = signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
     return out.union(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 
-def likely(pairs: DataFrame, reps: DataFrame, share: float = LIKELY) -> DataFrame:
-    """The pairs whose signatures agree in that share of coordinates at least."""
+def likely(queries: DataFrame, members: DataFrame, reps: DataFrame, share: float = LIKELY) -> DataFrame:
+    """Pairs (a < b, repeats possible) of a query and a member of its band (band, id, c: component) of different components whose
+    signatures agree in that share of coordinates at least.
+
+    A sorted stream: a band's queries, at most BLOCK, are held while its members pass, so pairs that differ are never rows. Members of a
+    band are dealt over SALT keys, with the queries at each.
+    """
+    width = 4096
+
+    def pairs_of(held: list, ids: np.ndarray, c: np.ndarray, sig: np.ndarray):
+        qi, qc, qs = np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.stack([h[2] for h in held])
+        for i in range(0, len(ids), max(1, width // len(held))):
+            at = slice(i, i + max(1, width // len(held)))
+            near = ((qs[:, None, :] == sig[None, at, :]).mean(2) >= share) & (qc[:, None] != c[None, at])
+            x, y = np.nonzero(near)
+            yield np.minimum(qi[x], ids[at][y]), np.maximum(qi[x], ids[at][y])
 
     def run(batches):
+        key, held = None, []
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                keep = pa.array((a == b).mean(1) >= share)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    joined = pairs.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+            if not batch.num_rows:
+                continue
+            band, salt, kind, ids, c = (batch.column(n).to_numpy() for n in ("band", "salt", "kind", "id", "c"))
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+            edge = np.flatnonzero((band[1:] != band[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for i, j in zip([0, *edge], [*edge, len(ids)], strict=True):
+                if key != (band[i], salt[i]):
+                    key, held = (band[i], salt[i]), []
+                if kind[i] == 0:
+                    held += [(ids[r], c[r], sig[r].copy()) for r in range(i, j)]
+                elif held:
+                    for a, b in pairs_of(held, ids[i:j], c[i:j], sig[i:j]):
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    each = queries.select("band", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"), F.lit(0).alias("kind"), "id", "c")
+    rest = members.select("band", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "c")
+    rows = each.union(rest).join(reps.select(F.col("rep").alias("id"), "sig"), "id")
+    rows = rows.repartition(partitions(queries.sparkSession), "band", "salt").sortWithinPartitions("band", "salt", "kind", "id")
+    return rows.select("band", "salt", "kind", "id", "c", "sig").mapInArrow(run, "a long, b long")
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
