@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwave.llm.common import map_texts, mix, stage_table, text_bytes, word_bounds, word_hashes
+from meshwave.llm.common import map_texts, mix, only_ids, stage_table, text_bytes, word_bounds, word_hashes
 
 #: Labelled texts that the evidence is learned from, half for the counts and half for the regression; site counts use all labels.
 TRAIN_LIMIT = 20_000
 BITS = 18
+KINDS = 4
+COLUMNS = 5 * KINDS + 8
 LEAST_SHOWN = 4
 STRENGTH = (1.0, 10_000.0)
 
@@ -35,7 +37,7 @@ _CLASS[[ord(c) for c in ".,;:'\"()-?"]] = 4
 
 
 def _tokens(texts: pa.Array):
-    """(words, shapes): (slots, first slot of each text, sorted and distinct in a text); and the ratios (texts, 8)."""
+    """(words, beginnings of 4 and 5 bytes, shapes): (slots, first slot of each text, sorted and distinct in a text); the ratios (texts, 8)."""
     data, offsets = text_bytes(texts)
     n = len(offsets) - 1
     starts, ends, first = word_bounds(data, offsets)
@@ -56,7 +58,8 @@ def _tokens(texts: pa.Array):
     upper = (per[1] > 1) & (per[1] >= per[0])
     shape = (tail << 8) | (np.minimum(per[4], 3).astype(np.int64) << 4) | (upper.astype(np.int64) << 2) | (before.astype(np.int64) << 1) | (per[2] > 0)
     slots = []
-    for h, who in ((core, core_of), (mix(shape.astype(np.uint64) + np.uint64(77)), of)):
+    begins = [word_hashes(data, a, np.minimum(b, a + k)) for k in (4, 5)]
+    for h, who in ((core, core_of), *((x, core_of) for x in begins), (mix(shape.astype(np.uint64) + np.uint64(77)), of)):
         key = np.unique((who.astype(np.int64) << BITS) | (h >> np.uint64(64 - BITS)).astype(np.int64))
         slots.append((key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(n + 1))))
     words = np.maximum(np.diff(first), 1)
@@ -68,7 +71,7 @@ def _tokens(texts: pa.Array):
 
 @dataclass
 class Model:
-    odds: np.ndarray  # (word or shape, slot): log-odds of the positive class
+    odds: np.ndarray  # (kind, slot): log-odds of the positive class
     weights: np.ndarray
     center: np.ndarray
     scale: np.ndarray
@@ -113,7 +116,7 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
 
 def train(labelled: DataFrame, label: str, limit: int = TRAIN_LIMIT) -> Model | None:
     """Learn P(label = 1) from (text, label) of about `limit` rows at most, chosen by a hash of the text; null texts and labels are
-    left out. None if one of the classes is absent. The driver gets at most 2^18 counts a kind of token and 18 numbers a row of the sample."""
+    left out. None if one of the classes is absent. The driver gets at most 2^18 counts a kind of token and COLUMNS numbers a row of the sample."""
     rows = labelled.where(F.col(label).isNotNull())
     total = rows.select(label).count()
     share = min(1.0, limit / max(total, 1))
@@ -125,7 +128,7 @@ def train(labelled: DataFrame, label: str, limit: int = TRAIN_LIMIT) -> Model |
             y = batch.column("y").to_numpy().astype(np.int64)
             slots, _ = _tokens(batch.column("text"))
             keys = [((k * 2 + np.repeat(y, np.diff(first))) << BITS) | slot for k, (slot, first) in enumerate(slots)]
-            keys.append(((4 + y) << BITS))
+            keys.append((2 * KINDS + y) << BITS)
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
@@ -134,23 +137,23 @@ def train(labelled: DataFrame, label: str, limit: int = TRAIN_LIMIT) -> Model |
     def tally(rows: DataFrame):
         counted = map_texts(rows, "text", "key long, n long", count, 1 << 20).groupBy("key").agg(F.sum("n").alias("n")).toPandas()
         key, n = counted["key"].to_numpy(np.int64), counted["n"].to_numpy(float)
-        return key, n, np.array([n[key == (4 + c) << BITS].sum() for c in (0, 1)])
+        return key, n, np.array([n[key == (2 * KINDS + c) << BITS].sum() for c in (0, 1)])
 
     key, n, docs = tally(chosen.where("p % 2 = 0"))
     if not docs.all():  # few different texts: one half lacks a class
         key, n, docs = tally(chosen)
     if not docs.all():
         return None
-    odds = np.zeros((2, 1 << BITS), np.float32)
-    for k in range(2):
+    odds = np.zeros((KINDS, 1 << BITS), np.float32)
+    for k in range(KINDS):
         shown = np.zeros((2, 1 << BITS))
         for c in (0, 1):
             m = (key >> BITS) == k * 2 + c
             shown[c][key[m] & ((1 << BITS) - 1)] = n[m]
         value = np.log((shown[1] + 0.5) / (docs[1] + 1)) - np.log((shown[0] + 0.5) / (docs[0] + 1))
         odds[k] = np.where(shown.sum(0) >= LEAST_SHOWN, value, 0)
-    model = Model(odds, np.zeros(19), np.zeros(18), np.ones(18), float(docs[1] / docs.sum()))
-    handed = labelled.sparkSession.sparkContext.broadcast(model)  # 2 * 2^18 numbers
+    model = Model(odds, np.zeros(COLUMNS + 1), np.zeros(COLUMNS), np.ones(COLUMNS), float(docs[1] / docs.sum()))
+    handed = labelled.sparkSession.sparkContext.broadcast(model)  # KINDS * 2^18 numbers
 
     def features():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -200,15 +203,16 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def score(docs: DataFrame, labelled: DataFrame, limit: int = TRAIN_LIMIT, floor: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, labelled: DataFrame, limit: int = TRAIN_LIMIT, floor: float = 0.5, sample: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, text, host, path) and labelled (text, host, path, quality, toxic: 0 or 1) to a row for each of docs: doc_id,
     evidence, host_rate, path_rate, quality, toxic (probabilities) and keep (quality of at least `floor`, toxic below a half).
+    sample (text, quality, toxic): what the evidence is learned from, where that is at hand; labelled then needs no text.
 
     Null and empty texts have the evidence of a text without words; sites without labels have their host's rate, or the global one.
     Without labels of both classes evidence and rates are 0.5. Repeated rows are scored each; other columns are not read.
     """
     spark = docs.sparkSession
-    good, bad = (train(labelled, c, limit) for c in ("quality", "toxic"))
+    good, bad = (train(labelled if sample is None else sample, c, limit) for c in ("quality", "toxic"))
     handed = spark.sparkContext.broadcast((good, bad))
 
     def make():
@@ -236,4 +240,7 @@ def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Hosts are sources, paths the languages within a source; a document's labels are its highest ones."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return score(docs, docs.join(labels, "doc_id"))
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, TRAIN_LIMIT / max(labels.count(), 1)) * (1 << 20)) + 1)
+    chosen = stage_table(chosen, "labels")
+    sample = stage_table(only_ids(docs.select("doc_id", "text"), chosen.select("doc_id")).join(chosen, "doc_id").select("text", "quality", "toxic"), "sample")
+    return score(docs, docs.select("doc_id", "host", "path").join(labels, "doc_id"), sample=sample)
