@@ -22,6 +22,7 @@ SIMILARITY = 0.8
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _OWN: dict[str, str] = {}
+_STAGED: list[str] = []
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -38,9 +39,19 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this process has staged, once results that read them are written; returns how many there were."""
+    n = len(_STAGED)
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -157,28 +168,56 @@ def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callab
     return df.mapInArrow(run, schema)
 
 
-def maybe_in(ids: DataFrame, column: str = "doc_id"):
-    """A predicate on `column`: true for the ids (distinct, of that name) and for few others; false for nulls. It filters before a shuffle;
-    an exact join follows it.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def hash_long(x: np.ndarray, seed: int) -> np.ndarray:
+    """Spark's xxhash64 of a long column behind a prefix whose hash is `seed`."""
+    h = np.uint64((seed + int(_P5) + 8) & 0xFFFFFFFFFFFFFFFF) ^ (_turn(x.astype(np.int64).view(np.uint64) * _P2, 31) * _P1)
+    h = _turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
 
-    A Bloom filter of 16 bits an id, at most 2^FILTER_BITS bits (8 MB), goes to the executors. With more ids than that is good for it is
-    true more often, at last always.
+
+def id_filter(ids: DataFrame, column: str = "doc_id") -> Callable[[np.ndarray], np.ndarray]:
+    """A test of arrays of ids, to run in tasks: true for the ids (distinct, of that column) and for few others. An exact join follows it.
+
+    It is a Bloom filter of 16 bits an id, at most 2^FILTER_BITS bits (8 MB). With more ids than that is good for it is true more
+    often, at last always.
     """
     spark = ids.sparkSession
     bits = min(FILTER_BITS, max(10, int(np.ceil(np.log2(16 * max(ids.count(), 1))))))
+    seeds = [int(x) for x in spark.range(1).select(*(F.xxhash64(F.lit(i)) for i in range(4))).first()]
     slots = F.array(*(F.pmod(F.xxhash64(F.lit(i), F.col(column).cast("long")), F.lit(1 << bits)) for i in range(4)))
     rows = ids.select(F.explode(slots).alias("_s")).groupBy(F.shiftright("_s", 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("_s"), F.lit(32)).cast("int"))).alias("bits")).toPandas()
     table = np.zeros(1 << (bits - 5), np.uint32)
     table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint32)
     handed = spark.sparkContext.broadcast(table)
 
+    def has(x: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), bool)
+        for seed in seeds:
+            at = (hash_long(x, seed) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            out &= (handed.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+        return out
+
+    return has
+
+
+def maybe_in(has: Callable[[np.ndarray], np.ndarray], column: str = "doc_id"):
+    """id_filter's test as a predicate on a column; false for nulls."""
+
     @F.pandas_udf("boolean")
-    def has(s: pd.Series) -> pd.Series:
-        at = np.stack(s.to_list()).astype(np.int64) if len(s) else np.zeros((0, 4), np.int64)
-        return pd.Series(((handed.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(1))
+    def test(x: pd.Series) -> pd.Series:
+        return pd.Series(has(x.to_numpy(np.int64)))
 
-    return F.col(column).isNotNull() & has(slots)
+    return F.col(column).isNotNull() & test(F.coalesce(F.col(column), F.lit(0)).cast("long"))
 
 
 def only_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    return docs.where(maybe_in(ids, column))
+    return docs.where(maybe_in(id_filter(ids, column), column))
