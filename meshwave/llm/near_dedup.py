@@ -21,7 +21,7 @@ from meshwave.llm.components import components
 
 BANDS = 25
 ROWS = 5
-FIRST, BLOCK = 16, 256
+FIRST, BLOCK = 8, 256
 SALT = 8
 #: A pair is verified unless its signatures agree in less than this share: five standard deviations below the similarity asked for.
 LIKELY = 0.62
@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     Each distinct text counts once. Every text is compared with the smallest id of each of its bands, the most shared one first; then,
     as long as a band holds texts of more than one component, those outside the component of its smallest id are queries against the
-    band's other components: FIRST of each band, then BLOCK at a time, until all have been. So no two similar texts of one band stay apart, and links inside
+    band's other components: FIRST of each band, then four times as many, up to BLOCK, until all have been. So no two similar texts of one band stay apart, and links inside
     a component are not asked for.
     """
     spark = docs.sparkSession
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         links = links.union(more)
         found = stage_table(components(links), "components")
 
-    # bands that still hold several components: texts outside their leader's are queries, FIRST of a band at once, then BLOCK
+    # bands that still hold several components: texts outside their leader's are queries, FIRST of a band at once, then four times as many, up to BLOCK
     asked = stage_table(members.limit(0).select("band", F.col("rep").alias("q")), "asked")
     block = FIRST
     while True:
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
             links = links.union(more)
             found = stage_table(components(links), "components")
         asked = asked.union(now.select("band", "q"))
-        block = BLOCK
+        block = min(4 * block, BLOCK)
 
     classes = labelled(texts_of.select("key", "rep"), "rep", "class_id").select("key", "class_id")
     out = signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
