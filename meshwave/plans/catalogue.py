@@ -740,9 +740,8 @@ def generalized_chi2(spark, d):
 
 @query()
 def likelihood_ratio_test(spark, d):
-    """Unit amplitude against a free one, on the first 12 days by 12 hours of each event type."""
-    g = G.GridSpec((12, 12))
-    return W.likelihood_ratio(src.event_fields(spark, d).where("i0 < 12 and i1 < 12"), g, ["field_id"], K.Exponential().bound("rho", 0.05, 10), {"sigma": 1.0})
+    """Unit amplitude against a free one, on all days and hours of each event type."""
+    return W.likelihood_ratio(src.event_fields(spark, d), GRID, ["field_id"], K.Exponential().bound("rho", 0.05, 10), {"sigma": 1.0})
 
 
 @query(f"""with {Q.CLICK}, {Q.CELLS}, miss as (select i0, i1 from cells where not exists (select 1 from c where c.i0 = cells.i0 and c.i1 = cells.i1)),

@@ -25,3 +25,11 @@ def test_entry(spark):
 
     assert e.entry(spark).collect()[0]["n"] == 720
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_likelihood_ratio_uses_every_cell(spark, small, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalogue.W, "likelihood_ratio", lambda field, grid, *a: seen.append((field, grid)))
+    catalogue.QUERIES["likelihood_ratio_test"](spark, small)
+    (field, grid), = seen
+    assert grid.n_points == 720 and field.count() == catalogue.src.event_fields(spark, small).count()
