@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences: a configuration linear program over the length histogram.
 
 The program has one variable for each multiset of lengths that fits a sequence (a configuration) and one covering row for each
-length. Multiplicative weights raise the price of lengths that chosen configurations leave behind; a knapsack dynamic program
-finds the configuration of the highest price. The fractional solution is rounded down, and what remains is packed best-fit by
-decreasing length. All of this works on the histogram (at most `capacity` numbers) on the driver; documents are placed by their
-rank among those of equal length, in parallel.
+length. Multiplicative weights price the rows: a row that has been served less weighs more. A knapsack dynamic program finds the
+configuration of the highest price, which is added until one of its rows has moved by STEP of its demand, and so on until every row
+is covered. The fractional cover is rounded down, and the pieces left over are covered by the same program in whole sequences.
+All of this works on the histogram (at most `capacity` numbers) on the driver; documents are placed by their rank among those of
+equal length, in parallel.
 """
 
 from __future__ import annotations
@@ -22,7 +23,12 @@ from meshwave.llm.common import map_texts, stage_table
 CAPACITY = 1024
 TOKENIZER = "byte_bpe_50k"
 END = 2
-ROUNDS = 400
+#: The part of its demand by which the most moved row of a round moves.
+STEP = 0.25
+#: A piece of length l is worth l (1 + TILT l / capacity) at first: long pieces, which fewer configurations hold, are not left to the end.
+TILT = 0.3
+#: The weight of a row that has got the share x of its demand falls as exp(-RATE x).
+RATE = 0.05
 SALT = 64
 
 
@@ -30,117 +36,101 @@ SALT = 64
 
 
 def price_knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length is taken in a sequence of at most `capacity` tokens of the greatest total value (lengths may repeat)."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]), capacity + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
-        gain = best[c - lengths[:k]] + values[:k]
-        i = int(np.argmax(gain))
-        if gain[i] > best[c - 1]:
-            best[c], took[c] = gain[i], i
-        else:
-            best[c] = best[c - 1]
-    use = np.zeros(len(lengths), np.int64)
+    """How often each length (ascending, distinct) is taken in a sequence of at most `capacity` tokens of the greatest total value
+    (lengths may repeat). Ties: the shortest last piece."""
+    price = np.full(capacity + 1, -np.inf)
+    price[lengths] = values
+    best = np.zeros(capacity + 1)  # backwards: the value of c tokens is at capacity - c
+    took = np.zeros(capacity + 1, np.int64)
+    top = 0.0
+    for c in range(1, capacity + 1):
+        gain = best[capacity - c + 1 :] + price[1 : c + 1]
+        i = int(gain.argmax())
+        if gain[i] > top:
+            top, took[c] = float(gain[i]), i + 1
+        best[capacity - c] = top
+    use = np.zeros(capacity + 1, np.int64)
     c = capacity
     while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
+        if took[c]:
             use[took[c]] += 1
-            c -= int(lengths[took[c]])
+            c -= int(took[c])
+        else:
+            c -= 1
+    return use[lengths]
+
+
+def filled(values: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """As price_knapsack, but no length more often than it is left: what is too much goes, and other lengths fill the room."""
+    use = np.zeros(len(lengths), np.int64)
+    live = np.flatnonzero(left > 0)
+    room = capacity
+    while len(live := live[lengths[live] <= room]):
+        take = price_knapsack(values[live], lengths[live], room)
+        some = np.minimum(take, left[live] - use[live])
+        use[live] += some
+        room -= int((some * lengths[live]).sum())
+        if (some == take).all():
+            break
+        live = live[some == take]
     return use
 
 
-def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """A fractional cover of the counts: (configuration, how many of it), by multiplicative weights over the covering rows.
+def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float = STEP, whole: bool = False) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """(a cover of the counts: (configuration, how many of it); the best lower bound on the number of sequences that the prices prove).
 
-    Row l asks for counts[l] pieces. A round takes the configuration c of the greatest price and adds as much of it as moves no row
-    by more than `step` of its demand; a row that has got the share x of its demand weighs exp(-x * rate) / counts[l].
+    Row l asks for counts[l] pieces. A round takes the configuration of the greatest price and adds so much of it that no row moves by
+    more than `step` of its demand, one sequence at least (whole: whole numbers), and that no row gets more than it asks for. A price
+    vector w proves the bound sum(counts w) / (price of the best configuration); bounds are taken at the first prices and at lengths.
     """
     want = counts.astype(float)
     done = np.zeros(len(lengths))
-    rate, step = np.log(len(lengths) + 1) * 4, max(4.0 / rounds, 1e-3)
+    worth = lengths * (1 + TILT * lengths / capacity)
+    bound = float((lengths * want).sum() / capacity)
     found: dict[bytes, list] = {}
-    for _ in range(rounds):
-        left = done < 1
-        if not left.any():
-            break
-        weight = np.where(left, np.exp(-rate * done), 0.0)
-        # the price of a token is bounded below, so that a configuration is filled rather than left short
-        value = lengths * (0.05 + weight / weight.max()) * left
-        live = np.flatnonzero(left)
-        use = np.zeros(len(lengths), np.int64)
-        use[live] = price_knapsack(value[live], lengths[live], capacity)
+    while (live := np.flatnonzero(want - done > 1e-6)).size:
+        share = done[live] / want[live]
+        value = worth[live] * np.exp(-RATE * (share - share.min()))
+        left = np.ceil(want[live] - done[live] - 1e-6).astype(np.int64)
+        if not found:
+            best = price_knapsack(value, lengths[live], capacity)
+            bound = max(bound, float((value * want[live]).sum() / (value * best).sum()))
+        use = filled(value, lengths[live], left, capacity)
         took = use > 0
-        amount = max(float(np.min(step * want[took] / use[took])), 1.0)
-        amount = min(amount, float(np.min(np.maximum((1 - done[took]) * want[took] / use[took], 1.0))))
-        entry = found.setdefault(use.tobytes(), [use, 0.0])
-        entry[1] += amount
-        done = done + amount * use / want
-    return [(c, x) for c, x in found.values()]
-
-
-def plan_packing(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+        amount = max(1.0, step * float(np.min(want[live][took] / use[took])))
+        amount = min(amount, float(np.min((want - done)[live][took] / use[took])))
+        if whole:
+            amount = float(max(1, int(amount + 1e-9)))
+        done[live] += amount * use
+        every = np.zeros(len(lengths), np.int64)
+        every[live] = use
+        found.setdefault(every.tobytes(), [every, 0.0])[1] += amount
+    return [(c, x) for c, x in found.values()], bound
+
+
+def plan_packing(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in a sequence, longest first) and how many sequences have them; together exactly the counts."""
     order = np.argsort(lengths)
     lengths, left = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order].copy()
     plan: dict[tuple[int, ...], int] = {}
 
-    def put(pattern: tuple[int, ...], n: int) -> None:
+    def put(use: np.ndarray, n: int) -> None:
+        pattern = tuple(int(x) for x in np.repeat(lengths, use)[::-1])
         plan[pattern] = plan.get(pattern, 0) + n
-
-    for i in np.flatnonzero(lengths == capacity):
-        if left[i]:
-            put((capacity,), int(left[i]))
-            left[i] = 0
-    live = np.flatnonzero(left)
-    solution = sorted(configuration_program(lengths[live], left[live], capacity, rounds), key=lambda e: -e[1]) if len(live) else []
-    # rounded down in full or in part; the best fit of what remains decides which leaves the fewest sequences
-    best: list[tuple[tuple[int, ...], int]] | None = None
-    for share in (1.0, 0.9, 0.7, 0.4, 0.0):
-        rest, tried = left.copy(), []
-        for use, amount in solution:
-            took = use > 0
-            n = min(int(amount * share), int(np.min(rest[live][took] // use[took])))
-            if n > 0 and int((use * lengths[live]).sum()) == capacity:
-                tried.append((tuple(int(x) for x in np.repeat(lengths[live], use)[::-1]), n))
-                rest[live] -= n * use
-        tried += best_fit(lengths, rest, capacity)
-        if best is None or sum(n for _, n in tried) < sum(n for _, n in best):
-            best = tried
-    for pattern, n in best or []:
-        put(pattern, n)
+        left[:] -= n * use
+
+    fractional, _ = configuration_program(lengths, left, capacity)
+    for use, amount in fractional:
+        if n := int(amount + 1e-6):
+            put(use, n)
+    rest = np.flatnonzero(left)
+    for use, amount in configuration_program(lengths[rest], left[rest], capacity, whole=True)[0]:
+        every = np.zeros(len(lengths), np.int64)
+        every[rest] = use
+        put(every, int(amount))
     return sorted(plan.items())
 
 
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit by decreasing length on a histogram: whole groups of equal open sequences at once."""
-    room: dict[int, list[list]] = {}  # space left -> [pattern, number]
-    for i in range(len(lengths) - 1, -1, -1):
-        size, n = int(lengths[i]), int(counts[i])
-        while n > 0:
-            fit = min((r for r in room if r >= size), default=None)
-            if fit is None:
-                k = min(capacity // size, n)  # open new ones, filled with this length as far as it goes
-                whole = n // k
-                room.setdefault(capacity - k * size, []).append([(size,) * k, whole])
-                n -= k * whole
-                continue
-            pattern, have = room[fit][-1]
-            k = min(fit // size, n)
-            take = min(have, n // k)
-            if take == have:
-                room[fit].pop()
-                if not room[fit]:
-                    del room[fit]
-            else:
-                room[fit][-1][1] = have - take
-            room.setdefault(fit - k * size, []).append([pattern + (size,) * k, take])
-            n -= k * take
-    return [(p, n) for groups in room.values() for p, n in groups]
-
-
 # ------------------------------------------------------------------ documents
 
 
@@ -194,11 +184,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", PIECES, make, 1 << 20)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (with doc_id, piece, length of 1 to capacity, and any other columns) with sequence_id and offset.
 
     Equal rows are placed one by one; an empty table gives none. Memory: the driver and each task hold the plan, whose size is bounded by
-    the number of lengths and rounds, not by the rows. `pieces` is read twice, so pass a table or a staged one.
+    the number of lengths and steps, not by the rows. `pieces` is read twice, so pass a table or a staged one.
     """
     spark = pieces.sparkSession
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALT)).cast("int"))
@@ -206,7 +196,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     table = grouped.toPandas()  # at most capacity * SALT rows
     hist = table.groupby("length")["n"].sum()
     lengths, counts = hist.index.to_numpy(np.int64), hist.to_numpy(np.int64)
-    plan = plan_packing(lengths, counts, capacity, rounds)
+    plan = plan_packing(lengths, counts, capacity)
 
     # for each length: the ranks from which a slot of a pattern takes over, its first sequence, its place
     slots: dict[int, list[list[int]]] = {}
@@ -251,7 +241,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize and pack documents (doc_id, text; other columns are left out): doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Tokenize and pack documents (doc_id, text; other columns are left out): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one end id; long texts are cut into pieces and never held twice; equal rows, and rows that share an id or have
+    none, are placed each; ties go by doc_id and piece; an empty table gives none.
+    """
     return pack(stage_table(token_pieces(docs, capacity), "pieces"), capacity)
 
 
