@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 BATCH = 8 << 20
+HOT_KEYS = 1000
+LEAST_HOT = 2000
 FILTER_BITS = 26
 SIMILARITY = 0.8
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -40,16 +42,51 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that this process has staged, once results that read them are written; returns how many there were."""
-    n = len(_STAGED)
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads."""
+    for t in tables:
+        path = getattr(t, "staged_path", None)
+        if path in _STAGED:
+            _STAGED.remove(path)
+            _delete(t.sparkSession, path)
+
+
+def staged() -> int:
+    """How many folders this process has staged and not deleted."""
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Delete the folders that this process has staged, those after the first `since` and but for the last `but`, once results that read
+    them are written; returns how many."""
+    gone = _STAGED[since : len(_STAGED) - but]
+    for path in gone:
+        _STAGED.remove(path)
+        _delete(spark, path)
+    return len(gone)
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """left joined with right by `key`, which is unique in right; right's column n says how many rows of left have it, and goes.
+
+    Keys with over 1 in HOT_KEYS of these rows, fewer than HOT_KEYS, are broadcast; the rest meet in a shuffle. So no key gathers many rows.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    most = max(total // HOT_KEYS, LEAST_HOT)
+    hot, rest = right.where(F.col(n) > most).drop(n), right.where(F.col(n) <= most).drop(n)
+    if not hot.head(1):
+        return left.join(rest, key)
+    return left.join(F.broadcast(hot), key).union(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
 def partitions(spark: SparkSession) -> int:
