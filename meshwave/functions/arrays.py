@@ -40,6 +40,12 @@ def lag_grids(shape: tuple[int, ...], delta: tuple[float, ...] | None = None) ->
     return np.meshgrid(*(np.concatenate([np.arange(n), np.arange(1 - n, 0)]) * d for n, d in zip(shape, delta, strict=True)), indexing="ij")
 
 
+def torus_lags(shape: tuple[int, ...], delta: tuple[float, ...] | None = None) -> list[np.ndarray]:
+    """Distances around the grid's own torus, as a mesh."""
+    delta = delta or (1.0,) * len(shape)
+    return np.meshgrid(*(np.minimum(np.arange(n), n - np.arange(n)) * d for n, d in zip(shape, delta, strict=True)), indexing="ij")
+
+
 def fold(x: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
     """Sum lags 0..n-1, -(n-1)..-1 that are equal modulo n, axis by axis."""
     for axis, n in enumerate(shape):
@@ -63,7 +69,7 @@ class Field:
     """What does not depend on parameters: the periodogram and the folded spatial kernel's lags."""
 
     def __init__(self, z: np.ndarray, g: np.ndarray, delta: tuple[float, ...] | None = None):
-        self.shape = z.shape
+        self.shape, self.delta = z.shape, delta
         self.p = periodogram(z, g)
         self.cg = spatial_kernel(g)
         self.lags = lag_grids(z.shape, delta)
@@ -85,16 +91,91 @@ class Field:
         return float(np.mean(np.log(e) + self.p / e)), np.array([np.mean((e - self.p) * d / e**2) for d in self.de(kernel, theta, names)])
 
 
+class Fields:
+    """Many fields of one grid at once: z and g are (fields, *shape). Parameters are one number each or one a field."""
+
+    def __init__(self, z: np.ndarray, g: np.ndarray, delta: tuple[float, ...] | None = None):
+        self.shape = z.shape[1:]
+        axes = tuple(range(1, z.ndim))
+        self.p = np.abs(np.fft.fftn(z * g, axes=axes)) ** 2 / math.prod(self.shape)
+        masks, self.of = np.unique(g.reshape(len(g), -1), axis=0, return_inverse=True)
+        self.cg = np.stack([spatial_kernel(m.reshape(self.shape)) for m in masks])  # one for each mask
+        self.of = self.of.ravel()
+        self.lags = [x[None] for x in lag_grids(self.shape, delta)]
+
+    def _spread(self, theta: dict) -> dict:
+        return {k: np.asarray(v, float).reshape(-1, *(1,) * len(self.shape)) if np.ndim(v) else v for k, v in theta.items()}
+
+    def _expected(self, cov: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The transform of cov times each field's kernel, lags folded."""
+        x = cov * self.cg[self.of[at]]
+        for axis, n in enumerate(self.shape, 1):
+            pos, neg = np.split(x, [n], axis)
+            pad = [(0, 0)] * x.ndim
+            pad[axis] = (1, 0)
+            x = pos + np.pad(neg, pad)
+        return np.fft.fftn(x, axes=tuple(range(1, x.ndim))).real
+
+    def e(self, kernel, theta: dict, at: np.ndarray) -> np.ndarray:
+        return self._expected(kernel.cov(self.lags, self._spread(theta)), at)
+
+    def value_and_score(self, kernel, theta: dict, names: list[str], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values and gradients of the fields `at`, with their parameters."""
+        t, p = self._spread(theta), self.p[at]
+        e = self._expected(kernel.cov(self.lags, t), at)
+        axes = tuple(range(1, e.ndim))
+        ok = (e > 0).all(axes)
+        e = np.where(e > 0, e, 1.0)
+        value = np.where(ok, np.mean(np.log(e) + p / e, axes), math.inf)
+        slope = (e - p) / e**2
+        return value, np.stack([np.mean(slope * self._expected(kernel.grad(self.lags, t, n), at), axes) for n in names], 1)
+
+
+class VectorField:
+    """A field of several variates: z and g are shape + (p,)."""
+
+    def __init__(self, z: np.ndarray, g: np.ndarray, delta: tuple[float, ...] | None = None):
+        self.shape, self.p = z.shape[:-1], z.shape[-1]
+        self.i = cross_periodogram(z, g)
+        self.cg = {(a, b): spatial_kernel(g[..., a], g[..., b]) for a in range(self.p) for b in range(self.p)}
+        self.lags = lag_grids(self.shape, delta)
+
+    def _matrix(self, entries: dict) -> np.ndarray:
+        out = np.empty((*self.shape, self.p, self.p), complex)
+        for ab, c in entries.items():
+            out[..., ab[0], ab[1]] = transform_lags(np.broadcast_to(c, self.cg[ab].shape) * self.cg[ab], self.shape)
+        return out
+
+    def e(self, model, theta: dict) -> np.ndarray:
+        return self._matrix(model.cov(self.lags, theta))
+
+    def value_and_score(self, model, theta: dict, names: list[str]) -> tuple[float, np.ndarray]:
+        """Mean of log det E + tr E^-1 I, and its gradient; infinite where E is not positive."""
+        e = self.e(model, theta)
+        sign, log = np.linalg.slogdet(e)
+        if not (sign.real > 0).all() or not (np.einsum("...ii->...i", e).real > 0).all():
+            return math.inf, np.zeros(len(names))
+        inv = np.linalg.inv(e)
+        q = inv @ self.i
+        value = float(np.mean(log + np.einsum("...ii->...", q).real))
+        score = []
+        for n in names:
+            t = inv @ self._matrix(model.grad(self.lags, theta, n))
+            score.append(float(np.mean(np.einsum("...ii->...", t) - np.einsum("...ij,...ji->...", t, q)).real))
+        return value, np.array(score)
+
+
 # ------------------------------------------------------------------ simulation
 
 
-def embedding(kernel, theta: dict, shape: tuple[int, ...], delta: tuple[float, ...] | None = None, tolerance: float = 1e-2, doublings: int = 4) -> tuple[np.ndarray, float]:
-    """(eigenvalues of the circulant embedding, their least). Clamped at 0; where one lies below -tolerance the torus is doubled, a few times."""
+def embedding(kernel, theta: dict, shape: tuple[int, ...], delta: tuple[float, ...] | None = None, tolerance: float = 1e-2, doublings: int = 4, approximate: bool = False) -> tuple[np.ndarray, float]:
+    """(eigenvalues of the circulant embedding, their least). Clamped at 0; where one lies below -tolerance the torus is doubled, a few
+    times, or taken as it is (approximate)."""
     grown = shape
     for _ in range(doublings + 1):
         lam = np.fft.fftn(np.broadcast_to(kernel.cov(lag_grids(grown, delta), theta), [2 * n - 1 for n in grown])).real
         least = float(lam.min())
-        if least > -tolerance:
+        if least > -tolerance or approximate:
             return np.maximum(lam, 0.0), least
         grown = tuple(2 * n for n in grown)
     raise ValueError(f"the embedding is not positive: {least}")
@@ -142,6 +223,25 @@ def offset_sum(f: np.ndarray, f2: np.ndarray, cov: np.ndarray, g: np.ndarray, of
     return float(np.sum(shifted(f, offset)[0] * shifted(f2, offset)[1] * np.abs(dft_diagonal(cov, g, offset)) ** 2))
 
 
+def exact_score_covariance(cov: np.ndarray, g: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    """2 / N^2 times the sums of w_a(k) w_b(k') |covariance of the transform at (k, k')|^2: an offset and its opposite have the same terms
+    turned, so half of the offsets are enough."""
+    j = np.zeros((len(weights), len(weights)))
+    for at in np.ndindex(*(2 * n - 1 for n in g.shape)):
+        m = tuple(x - (n - 1) for x, n in zip(at, g.shape, strict=True))
+        back = tuple(-x for x in m)
+        if m < back:
+            continue
+        k2 = np.abs(dft_diagonal(cov, g, m)) ** 2
+        for a, x in enumerate(weights):
+            for b, y in enumerate(weights):
+                total = np.sum(shifted(x, m)[0] * shifted(y, m)[1] * k2)
+                j[a, b] += total
+                if m != back:
+                    j[b, a] += total
+    return j * 2 / g.size**2
+
+
 # ------------------------------------------------------------------ special functions
 
 
@@ -228,6 +328,61 @@ def minimise(fun, x0: np.ndarray, bounds: list[tuple[float, float]], max_iter: i
     return x, f, max_iter, False
 
 
+def minimise_many(fun, x0: np.ndarray, bounds: list[tuple[float, float]], max_iter: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Projected BFGS with backtracking for many problems at once: x0 is (problems, parameters), fun(x, at) gives the values and gradients
+    of the problems `at`. Each problem's steps are its own. Returns x, values, iterations, converged."""
+    low = np.array([lo + 1e-6 if math.isfinite(lo) else -math.inf for lo, _ in bounds])
+    high = np.array([hi - 1e-6 if math.isfinite(hi) else 1e6 for _, hi in bounds])
+    x = np.clip(np.asarray(x0, float), low, high)
+    n, k = x.shape
+    f, g = fun(x, np.arange(n))
+    inverse = np.zeros((n, k, k))
+    fresh = np.ones(n, bool)  # the inverse Hessian is not known yet
+    rounds, good, live = np.zeros(n, np.int64), np.zeros(n, bool), np.arange(n)
+    for _ in range(max_iter):
+        edge = ((np.clip(x[live] - 1e-8 * np.sign(g[live]), low, high)) == x[live]) & (g[live] != 0)
+        free = np.where(edge, 0.0, g[live])
+        flat = np.abs(free).max(1, initial=0.0) < 1e-7
+        good[live[flat]] = True
+        live, free, edge = live[~flat], free[~flat], edge[~flat]
+        if not len(live):
+            break
+        first = np.minimum(1.0, 0.1 * np.maximum(np.abs(x[live]).max(1), 1.0) / np.maximum(np.abs(free).max(1), 1e-12))
+        inverse[live[fresh[live]]] = (np.eye(k)[None] * first[:, None, None])[fresh[live]]
+        step = np.where(edge, 0.0, np.einsum("bij,bj->bi", inverse[live], free))
+        up = np.einsum("bi,bi->b", step, free) <= 0
+        step[up] = free[up] * first[up, None]
+        fresh[live[up]] = True
+        t, new, value, slope = np.ones(len(live)), x[live].copy(), f[live].copy(), g[live].copy()
+        todo, stuck = np.arange(len(live)), np.zeros(len(live), bool)
+        while len(todo):
+            tried = np.clip(x[live[todo]] - t[todo, None] * step[todo], low, high)
+            v, s = fun(tried, live[todo])
+            ok = np.isfinite(v) & (v <= f[live[todo]] - 1e-4 * np.einsum("bi,bi->b", free[todo], x[live[todo]] - tried))
+            new[todo[ok]], value[todo[ok]], slope[todo[ok]] = tried[ok], v[ok], s[ok]
+            todo = todo[~ok]
+            t[todo] /= 2
+            small = t[todo] < 1e-12
+            stuck[todo[small]] = True
+            todo = todo[~small]
+        good[live[stuck]] = np.abs(free[stuck]).max(1, initial=0.0) < 1e-4
+        s, y = new - x[live], slope - g[live]
+        sy, yy = np.einsum("bi,bi->b", s, y), np.einsum("bi,bi->b", y, y)
+        turn = (sy > 1e-12 * yy) & ~stuck
+        if turn.any():
+            at, sv, yv, c = live[turn], s[turn], y[turn], sy[turn]
+            h = np.where(fresh[at][:, None, None], np.eye(k)[None] * (c / yy[turn])[:, None, None], inverse[at])
+            left = np.eye(k)[None] - sv[:, :, None] * yv[:, None, :] / c[:, None, None]
+            inverse[at] = left @ h @ np.swapaxes(left, 1, 2) + sv[:, :, None] * sv[:, None, :] / c[:, None, None]
+            fresh[at] = False
+        done = np.abs(f[live] - value) < 1e-12 * np.maximum(np.abs(f[live]), 1)
+        x[live], f[live], g[live] = new, value, slope
+        rounds[live[~stuck]] += 1
+        good[live[done & ~stuck]] = True
+        live = live[~stuck & ~done]
+    return x, f, rounds, good
+
+
 def nelder_mead(fun, x0: np.ndarray, bounds: list[tuple[float, float]], max_iter: int = 400) -> tuple[np.ndarray, float, int, bool]:
     n = len(x0)
     sim = [clamp(np.asarray(x0, float), bounds)]
@@ -298,3 +453,56 @@ def differential_evolution(fun, bounds: list[tuple[float, float]], rng: np.rando
                 x[i], f[i] = y, fy
     best = int(np.argmin(f))
     return x[best], float(f[best])
+
+
+def _box(bounds: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds without infinite ends, which count as 100 from the finite one."""
+    lo = np.array([a if math.isfinite(a) else -100.0 for a, _ in bounds]) + 1e-6
+    hi = np.array([b if math.isfinite(b) else max(a, 0.0) + 100.0 for a, b in bounds]) - 1e-6
+    return lo, hi
+
+
+def dual_annealing(fun, bounds: list[tuple[float, float]], rng: np.random.Generator, steps: int = 600) -> tuple[np.ndarray, float]:
+    """A seeded walk of Cauchy steps that grow shorter with the temperature; worse places are taken by its odds, and the best is kept."""
+    lo, hi = _box(bounds)
+    x = lo + (hi - lo) * rng.random(len(lo))
+    f = fun(x)
+    best, low = x, f
+    for i in range(steps):
+        heat = 0.5 ** (8 * i / steps)
+        y = x + (hi - lo) * 0.2 * heat * np.tan(np.pi * (np.clip(rng.random(len(lo)), 0.02, 0.98) - 0.5))
+        y = lo + np.abs((y - lo + (hi - lo)) % (2 * (hi - lo)) - (hi - lo))  # reflected into the box
+        fy = fun(y)
+        if fy <= f or rng.random() < math.exp(-min((fy - f) / (0.05 * heat), 700.0)):
+            x, f = y, fy
+            if f < low:
+                best, low = x, f
+    return best, float(low)
+
+
+def divide_rectangles(fun, bounds: list[tuple[float, float]], rng: np.random.Generator | None = None, evaluations: int = 400) -> tuple[np.ndarray, float]:
+    """DIRECT: rectangles on the lower hull of (size, value) are cut in three along their longest sides; nothing is drawn."""
+    lo, hi = _box(bounds)
+    at = lambda c: lo + (hi - lo) * c
+    n = len(lo)
+    centers, sides = [np.full(n, 0.5)], [np.zeros(n, int)]
+    values = [fun(at(centers[0]))]
+    while len(values) < evaluations:
+        size = np.array([np.linalg.norm(3.0 ** -s) for s in sides])
+        value = np.where(np.isfinite(values), values, 1e300)
+        chosen = []
+        for s in np.unique(size.round(12))[::-1]:  # of each size the best, as long as values fall
+            k = np.flatnonzero(np.isclose(size, s))
+            k = int(k[np.argmin(value[k])])
+            if not chosen or value[k] < value[chosen[-1]] - 1e-12:
+                chosen.append(k)
+        for k in chosen:
+            for axis in np.flatnonzero(sides[k] == sides[k].min()):
+                sides[k] = sides[k] + (np.arange(n) == axis)
+                for step in (1, -1):
+                    c = centers[k] + step * 3.0 ** -sides[k][axis] * (np.arange(n) == axis)
+                    centers.append(c)
+                    sides.append(sides[k].copy())
+                    values.append(fun(at(c)))
+    best = int(np.argmin(values))
+    return at(centers[best]), float(values[best])

@@ -56,6 +56,12 @@ class Kernel:
 
     changes: tuple[Param, ...] = field(default=(), kw_only=True)
 
+    @property
+    def vectorised(self) -> bool:
+        """Whether parameters may be arrays, one value a field."""
+        parts = [*getattr(self, "parts", ()), *([self.base] if isinstance(getattr(self, "base", None), Kernel) else [])]
+        return all(k.vectorised for k in parts)
+
     def declared(self) -> list[Param]:
         raise NotImplementedError
 
@@ -120,6 +126,10 @@ class Kernel:
                 out = out + self._grad(lags, theta, p.name, xp)
         return out
 
+    def _pull(self, lags: list, t: dict, xp):
+        """Radius times the slope by the radius; kernels of the radius over rho have it from their slope by rho."""
+        return self._grad(lags, t, "rho", xp) * (-t["rho"])
+
     def __add__(self, other: Kernel) -> Kernel:
         return Sum((self, other))
 
@@ -230,6 +240,9 @@ class Nugget(Kernel):
         zero, g0, g = self._parts(lags, xp, lambda x: self.base._grad(x, t, name, xp))
         return xp.where(zero, t["nugget"] * g0, 0.0) + (1.0 - t["nugget"]) * g
 
+    def _pull(self, lags, t, xp):
+        return (1.0 - t["nugget"]) * self.base._pull(lags, t, xp)
+
 
 @dataclass(frozen=True)
 class Anisotropic(Kernel):
@@ -251,10 +264,10 @@ class Anisotropic(Kernel):
         u, v = self._turn(lags, t, xp)
         if name not in ("eta", "phi"):
             return self.base._grad([u, v], t, name, xp)
-        # chain rule through the radius; bases here depend on lags by it alone, as C(r): dC/dr = -(rho / r) dC/drho
+        # chain rule through the radius; bases here depend on lags by it alone
         du, dv = (u / t["eta"], -v / t["eta"]) if name == "eta" else (-t["eta"] * t["eta"] * v, u / (t["eta"] * t["eta"]))
         r2 = u * u + v * v
-        slope = self.base._grad([u, v], t, "rho", xp) * (-t["rho"])
+        slope = self.base._pull([u, v], t, xp)
         return xp.where(r2 > 0, slope * (u * du + v * dv) / xp.where(r2 > 0, r2, 1.0), 0.0)
 
 
@@ -286,6 +299,13 @@ class Sum(Kernel):
         i = int(head[1:])
         return self.parts[i]._grad(lags, self._of(t, i), inner, xp)
 
+    def _pull(self, lags, t, xp):
+        total = None
+        for i, k in enumerate(self.parts):
+            c = k._pull(lags, self._of(t, i), xp)
+            total = c if total is None else total + c
+        return total
+
 
 @dataclass(frozen=True)
 class Separable(Kernel):
@@ -312,32 +332,38 @@ class Separable(Kernel):
 
 
 @dataclass(frozen=True)
-class BivariateUniform:
-    """Two variates of one kernel: [[1, r f], [r f, f^2]] times it."""
+class BivariateUniform(Kernel):
+    """Two variates of one kernel: [[1, r f], [r f, f^2]] times it; cov and grad give the four entries."""
 
     base: Kernel = field(default_factory=SquaredExponential)
 
-    @property
-    def params(self) -> list[Param]:
+    def declared(self):
         return [Param("r", 0.0, -0.99, 0.99), Param("f", 1.0, 0.01, 100.0), *self.base.params]
 
     def factors(self, t) -> dict:
         return {(0, 0): 1.0, (0, 1): t["r"] * t["f"], (1, 0): t["r"] * t["f"], (1, 1): t["f"] * t["f"]}
 
     def cov(self, lags, t) -> dict:
-        c = self.base.cov(lags, t)
+        c = self.base._cov(lags, t, math_of(*lags, *t.values()))
         return {ab: c * x for ab, x in self.factors(t).items()}
 
-    def grad(self, lags, t, name) -> dict:
-        if name == "r":
-            c = self.base.cov(lags, t)
-            return {(0, 0): c * 0.0, (0, 1): c * t["f"], (1, 0): c * t["f"], (1, 1): c * 0.0}
-        if name == "f":
-            c = self.base.cov(lags, t)
-            return {(0, 0): c * 0.0, (0, 1): c * t["r"], (1, 0): c * t["r"], (1, 1): c * (2.0 * t["f"])}
-        g = self.base.grad(lags, t, name)
+    def _entries(self, lags, t, name) -> dict:
+        xp = math_of(*lags, *t.values())
+        if name in ("r", "f"):
+            c = self.base._cov(lags, t, xp)
+            cross, own = (t["f"], 0.0) if name == "r" else (t["r"], 2.0 * t["f"])
+            return {(0, 0): c * 0.0, (0, 1): c * cross, (1, 0): c * cross, (1, 1): c * own}
+        g = self.base._grad(lags, t, name, xp)
         return {ab: g * x for ab, x in self.factors(t).items()}
 
+    def grad(self, lags, t, name) -> dict:
+        out = self._entries(lags, t, name)
+        for p in self.params:
+            if p.link == name:
+                more = self._entries(lags, t, p.name)
+                out = {ab: c + more[ab] for ab, c in out.items()}
+        return out
+
 
 # ------------------------------------------------------------------ spectral models
 
@@ -362,6 +388,57 @@ def spectral_acv(density, shape: tuple[int, ...], delta: tuple[float, ...]) -> n
     return out
 
 
+class _Numeric(Kernel):
+    """Kernels on arrays alone, one parameter row at a time, with gradients by central differences."""
+
+    vectorised = False
+
+    def _grad(self, lags, t, name, xp):
+        step = 1e-5 * max(abs(t[name]), 1e-2)
+        up, down = (self._cov(lags, t | {name: t[name] + d}, xp) for d in (step, -step))
+        return (up - down) / (2 * step)
+
+
+@dataclass(frozen=True)
+class Spectral(_Numeric):
+    """A model given by its density: density(frequencies, theta) of any number of axes; lags must be those of a grid, 0..n-1, -(n-1)..-1."""
+
+    density: object = None
+    own: tuple[Param, ...] = ()
+
+    def declared(self):
+        return list(self.own)
+
+    def _cov(self, lags, t, xp):
+        lags = [np.asarray(x, float) for x in lags]
+        size = np.broadcast_shapes(*(x.shape for x in lags))
+        if len(size) != len(lags) or any(n % 2 == 0 for n in size):
+            raise ValueError("a spectral model needs the lags of a grid")
+        delta = tuple(float(np.moveaxis(np.broadcast_to(x, size), a, 0)[1].flat[0]) if size[a] > 1 else 1.0 for a, x in enumerate(lags))
+        return spectral_acv(lambda f: self.density(f, t), tuple((n + 1) // 2 for n in size), delta)
+
+
+def spectral_matern_kernel() -> Spectral:
+    """The Matern model by its density: rho, nu and sigma are parameters like any other."""
+    own = (Param("rho", 1.0, 0.01, 1e3), Param("nu", 1.5, 0.1, 20.0), Param("sigma", 1.0, 0.0, INF))
+    return Spectral(lambda f, t: t["sigma"] ** 2 * spectral_matern(f, t["rho"], t["nu"]), own)
+
+
+@dataclass(frozen=True)
+class Matern(_Numeric):
+    """The general Matern model: rho, sigma and nu are parameters."""
+
+    def declared(self):
+        return [_scale("rho"), _scale("sigma"), Param("nu", 1.5, 0.05, 20.0)]
+
+    def _cov(self, lags, t, xp):
+        r, back = np.unique(np.sqrt(_square([np.asarray(x, float) for x in lags])), return_inverse=True)
+        return matern(r, t["rho"], t["sigma"], t["nu"], closed=False)[back].reshape(np.broadcast_shapes(*(np.shape(x) for x in lags)))
+
+    def _grad(self, lags, t, name, xp):
+        return 2.0 * self._cov(lags, t, xp) / t["sigma"] if name == "sigma" else super()._grad(lags, t, name, xp)
+
+
 # ------------------------------------------------------------------ older forms kept under their own names
 
 

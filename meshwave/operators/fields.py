@@ -1,7 +1,7 @@
 """Whole-field operators: many fields, parameter rows or simulations in parallel, each on arrays inside one task; and one field too large
 for a task, transformed by rows and then by columns.
 
-A field in one task needs its N cells in memory, never more than one field at a time.
+A field in one task needs its N cells in memory; small fields go together, BATCH_CELLS of cells at a time.
 """
 
 from __future__ import annotations
@@ -10,19 +10,25 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwave.functions import arrays
 from meshwave.operators.grid import GridSpec
 
-#: Cells up to which relational plans are used where nothing else decides, and up to which a field goes into one task.
-RELATIONAL, ONE_TASK = 4096, 1 << 24
+#: Cells times parameter rows up to which relational plans are used where nothing else decides, and cells up to which a field goes into one task.
+RELATIONAL, ONE_TASK = 1 << 15, 1 << 24
+#: Cells up to which fields travel as arrays and are fitted together, cells of those that a task works on at a time, and cells up to which
+#: sums over all pairs of frequencies are exact.
+ARRAYS, BATCH_CELLS, EXACT = 1 << 16, 1 << 18, 4096
+#: Parameter rows that a task takes for a field.
+SLICE = 64
 
 
-def strategy(grid: GridSpec, fields: int = 1) -> str:
+def strategy(grid: GridSpec, fields: int = 1, rows: int = 1) -> str:
     """'relational', 'task' (arrays inside a task for each field) or 'rows' (row and column transforms of one large field)."""
-    if grid.n_points <= RELATIONAL and fields <= 16:
+    if grid.n_points * rows <= RELATIONAL and fields <= 16:
         return "relational"
     return "task" if grid.n_points <= ONE_TASK else "rows"
 
@@ -53,76 +59,250 @@ def periodograms(field: DataFrame, grid: GridSpec, keys: list[str]) -> DataFrame
     return field.groupBy(*keys).applyInPandas(run, schema)
 
 
-def fit(field: DataFrame, grid: GridSpec, keys: list[str], kernel, start: dict | None = None, method: str = "lbfgs", max_iter: int = 100, seed: int = 0) -> DataFrame:
-    """keys, theta (map), ll, n_iter, converged: parameters of each field by the spectral likelihood.
+def as_arrays(field: DataFrame, grid: GridSpec, keys: list[str]) -> DataFrame:
+    """keys, z, g (arrays over the grid, row by row; absent cells 0) of fields (keys, i0.., z, g): one shuffle, arrays built in the JVM."""
+    at = F.lit(0)
+    for a, n in enumerate(grid.shape):
+        at = at * n + F.col(f"i{a}")
+    cells = field.groupBy(*keys).agg(F.collect_list(F.struct(at.alias("at"), F.col("z").cast("double").alias("z"), F.col("g").cast("double").alias("g"))).alias("cells"))
+    return cells.select(*keys, F.transform("cells", lambda c: c["at"]).alias("at"), F.transform("cells", lambda c: c["z"]).alias("z"), F.transform("cells", lambda c: c["g"]).alias("g"))
+
+
+def _dense_batch(batch: pa.RecordBatch, grid: GridSpec) -> tuple[np.ndarray, np.ndarray]:
+    """(z, g) of all fields of a batch, (fields, *shape): z alone as whole arrays, nulls being missing cells; or with at and g, by cell."""
+    n, cells = batch.num_rows, grid.n_points
+    z, g = np.zeros((n, cells)), np.zeros((n, cells))
+    values = batch.column("z")
+    size = np.diff(np.asarray(values.offsets))
+    flat = values.flatten()
+    if "at" in batch.schema.names:
+        row = np.repeat(np.arange(n), size)
+        at = np.asarray(batch.column("at").flatten())
+        z[row, at], g[row, at] = np.asarray(flat, float), np.asarray(batch.column("g").flatten(), float)
+    else:
+        if (size != cells).any():
+            raise ValueError(f"vectors must have {cells} elements")
+        there = flat.is_valid().to_numpy(zero_copy_only=False)
+        z[:] = np.where(there, np.asarray(flat.fill_null(0).cast(pa.float64())), 0.0).reshape(n, cells)
+        g[:] = there.reshape(n, cells)
+    return z.reshape(n, *grid.shape), g.reshape(n, *grid.shape)
+
+
+def _fit_one(f: arrays.Field, kernel, start: dict, method: str, max_iter: int, seed: int, mark: int):
+    names, bounds = [p.name for p in kernel.free], kernel.bounds()
+    x0 = np.array(kernel.vector(kernel.theta(**start)))
+    value = lambda x: f.value(kernel, kernel.theta(x))
+    both = lambda x: f.value_and_score(kernel, kernel.theta(x), names)
+    if method in ("evolution", "annealing", "direct"):
+        rng = np.random.default_rng([seed, mark])
+        x0, _ = {"evolution": arrays.differential_evolution, "annealing": arrays.dual_annealing, "direct": arrays.divide_rectangles}[method](value, bounds, rng)
+    if method == "nelder-mead":
+        return arrays.nelder_mead(value, x0, bounds, max_iter * 4)
+    if method == "least-squares":
+
+        def residual(x):
+            e = f.e(kernel, kernel.theta(x))
+            de = f.de(kernel, kernel.theta(x), names)
+            return (f.p / e - 1).ravel(), np.stack([(-f.p / e**2 * d).ravel() for d in de], 1)
+
+        x, _, n, ok = arrays.gauss_newton(residual, x0, bounds, max_iter)
+        return x, value(x), n, ok
+    return arrays.minimise(both, x0, bounds, max_iter)
+
+
+def estimator_covariance(f: arrays.Field, g: np.ndarray, kernel, theta: dict, seed: int = 0, n_sims: int = 400) -> np.ndarray:
+    """H^-1 J H^-1 at theta for the free parameters: J exact on grids of up to EXACT / 4 cells, else from simulated scores."""
+    names = [p.name for p in kernel.free]
+    e, de = f.e(kernel, theta), f.de(kernel, theta, names)
+    h = np.array([[np.mean(a * b / e**2) for b in de] for a in de])
+    if e.size <= EXACT // 4:
+        j = arrays.exact_score_covariance(np.broadcast_to(kernel.cov(f.lags, theta), f.cg.shape), g, [d / e**2 for d in de])
+    else:
+        lam, _ = arrays.embedding(kernel, theta, f.shape, f.delta)
+        rng = [np.random.default_rng([seed, i]) for i in range(n_sims)]
+        scores = [[np.mean((e - p) * d / e**2) for d in de] for p in (arrays.periodogram(arrays.simulate(lam, f.shape, r), g) for r in rng)]
+        j = np.atleast_2d(np.cov(np.array(scores).T))
+    return sandwich(h, j)
+
+
+FIT = "theta map<string,double>, ll double, n_iter int, converged boolean"
+
+
+def fit(field: DataFrame, grid: GridSpec, keys: list[str], kernel, start: dict | None = None, method: str = "lbfgs", max_iter: int = 100, seed: int = 0, covariance: bool = False, taper: np.ndarray | None = None) -> DataFrame:
+    """keys, theta (map), ll, n_iter, converged, and covariance (map of "a|b", if asked for): parameters of each field (keys, i0.., z, g) by
+    the spectral likelihood. taper: weights over the grid, times g.
 
-    The periodogram and spatial kernel are computed once a field. method: lbfgs (with gradients), nelder-mead, least-squares (the
-    relative residuals of the periodogram), evolution (seeded by field order in its key's hash, then lbfgs).
+    method: lbfgs (with gradients; small fields together), nelder-mead, least-squares (the relative residuals of the periodogram),
+    evolution, annealing and direct (searches without a start, seeded by the field's key, then lbfgs).
     """
-    names = [p.name for p in kernel.free]
+    if grid.n_points <= ARRAYS:
+        return fit_vectors(as_arrays(field, grid, keys), grid, keys, kernel, start, method, max_iter, seed, covariance, taper)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = arrays.Field(dense(pdf, grid, "z"), dense(pdf, grid, "g"), grid.delta)
-        bounds = kernel.bounds()
-        x0 = np.array(kernel.vector(kernel.theta(**(start or {}))))
-        value = lambda x: f.value(kernel, kernel.theta(x))
-        both = lambda x: f.value_and_score(kernel, kernel.theta(x), names)
-        if method == "evolution":
-            mark = int(pd.util.hash_array(np.array([str(pdf[keys[0]].iloc[0])], dtype=object))[0]) if keys else 0
-            x0, _ = arrays.differential_evolution(value, bounds, np.random.default_rng([seed, mark]))
-        if method == "nelder-mead":
-            x, ll, n, ok = arrays.nelder_mead(value, x0, bounds, max_iter * 4)
-        elif method == "least-squares":
-
-            def residual(x):
-                e = f.e(kernel, kernel.theta(x))
-                de = f.de(kernel, kernel.theta(x), names)
-                return (f.p / e - 1).ravel(), np.stack([(-f.p / e**2 * d).ravel() for d in de], 1)
-
-            x, _, n, ok = arrays.gauss_newton(residual, x0, bounds, max_iter)
-            ll = value(x)
-        else:
-            x, ll, n, ok = arrays.minimise(both, x0, bounds, max_iter)
+        g = dense(pdf, grid, "g") * (1.0 if taper is None else taper)
+        f = arrays.Field(dense(pdf, grid, "z"), g, grid.delta)
+        x, ll, n, ok = _fit_one(f, kernel, start or {}, method, max_iter, seed, _mark(pdf[keys[0]].iloc[0] if keys else 0))
         theta = {k: float(v) for k, v in kernel.theta(x).items()}
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"theta": [theta], "ll": [ll], "n_iter": [n], "converged": [bool(ok)]})
+        more = {"covariance": [_named(estimator_covariance(f, g, kernel, theta, seed), kernel)]} if covariance else {}
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"theta": [theta], "ll": [ll], "n_iter": [n], "converged": [bool(ok)]} | more)
 
-    schema = (_keys(field, keys) + ", " if keys else "") + "theta map<string,double>, ll double, n_iter int, converged boolean"
+    schema = (_keys(field, keys) + ", " if keys else "") + FIT + (", covariance map<string,double>" if covariance else "")
+    return field.groupBy(*keys).applyInPandas(run, schema)
+
+
+def _mark(key: object) -> int:
+    return int(pd.util.hash_array(np.array([str(key)], dtype=object))[0])
+
+
+def _named(matrix: np.ndarray, kernel) -> dict[str, float]:
+    names = [p.name for p in kernel.free]
+    return {f"{a}|{b}": float(matrix[i, j]) for i, a in enumerate(names) for j, b in enumerate(names)}
+
+
+def fit_vectors(rows: DataFrame, grid: GridSpec, keys: list[str], kernel, start: dict | None = None, method: str = "lbfgs", max_iter: int = 100, seed: int = 0, covariance: bool = False, taper: np.ndarray | None = None) -> DataFrame:
+    """As fit, for fields that are arrays already: rows (keys, z: an array of all cells, nulls being missing ones; or at, z, g of
+    as_arrays). No shuffle, and no Python call a field: fields of a batch take their steps together."""
+    names = [p.name for p in kernel.free]
+    columns = [*keys, *(c for c in ("at", "z", "g") if c in rows.columns)]
+    together = method == "lbfgs" and kernel.vectorised
+    each = max(1, BATCH_CELLS // grid.n_points)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, each):
+                batch = whole.slice(at, each)
+                z, g = _dense_batch(batch, grid)
+                if taper is not None:
+                    g = g * taper
+                n = len(z)
+                if together:
+                    f = arrays.Fields(z, g, grid.delta)
+                    x0 = np.tile(np.array(kernel.vector(kernel.theta(**(start or {})))), (n, 1))
+                    x, ll, count, ok = arrays.minimise_many(lambda x, i, f=f: f.value_and_score(kernel, kernel.theta(list(x.T)), names, i), x0, kernel.bounds(), max_iter)
+                else:
+                    key = batch.column(keys[0]).to_pylist() if keys else [0] * n
+                    found = [_fit_one(arrays.Field(z[i], g[i], grid.delta), kernel, start or {}, method, max_iter, seed, _mark(key[i])) for i in range(n)]
+                    x, ll, count, ok = (np.array([r[c] for r in found]) for c in range(4))
+                theta = [{k: float(v) for k, v in kernel.theta(r).items()} for r in x]
+                kind = pa.map_(pa.string(), pa.float64())
+                cols = [*(batch.column(k) for k in keys), pa.array([list(t.items()) for t in theta], kind), pa.array(ll.astype(float)), pa.array(count.astype(np.int32)), pa.array(ok.astype(bool))]
+                if covariance:
+                    cols.append(pa.array([list(_named(estimator_covariance(arrays.Field(z[i], g[i], grid.delta), g[i], kernel, theta[i], seed), kernel).items()) for i in range(n)], kind))
+                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "theta", "ll", "n_iter", "converged", *["covariance"] * covariance])
+
+    schema = (_keys(rows, keys) + ", " if keys else "") + FIT + (", covariance map<string,double>" if covariance else "")
+    return rows.select(*columns).mapInArrow(run, schema)
+
+
+def fit_several(field: DataFrame, grid: GridSpec, keys: list[str], model, start: dict | None = None, max_iter: int = 100, variates: int = 2) -> DataFrame:
+    """keys, theta (map), ll, n_iter, converged, score (the largest slope at the end, bounds aside): a model of several variates, as the
+    bivariate one, for each field (keys, var, i0.., z, g). The variates may have masks of their own; parameters may be fixed, tied and
+    bounded. One field is in a task at a time."""
+    names = [p.name for p in model.free]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, g = (np.stack([dense(pdf[pdf["var"] == v], grid, c) for v in range(variates)], -1) for c in ("z", "g"))
+        f = arrays.VectorField(z, g, grid.delta)
+        both = lambda x: f.value_and_score(model, model.theta(x), names)
+        x, ll, n, ok = arrays.minimise(both, np.array(model.vector(model.theta(**(start or {})))), model.bounds(), max_iter)
+        slope = both(x)[1]
+        inside = arrays.clamp(x - 1e-8 * np.sign(slope), model.bounds()) != x
+        theta = {k: float(v) for k, v in model.theta(x).items()}
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"theta": [theta], "ll": [ll], "n_iter": [n], "converged": [bool(ok)], "score": [float(np.abs(slope[inside]).max(initial=0.0))]})
+
+    schema = (_keys(field, keys) + ", " if keys else "") + FIT + ", score double"
     return field.groupBy(*keys).applyInPandas(run, schema)
 
 
 def scan(field: DataFrame, grid: GridSpec, keys: list[str], kernel, theta: DataFrame) -> DataFrame:
-    """keys, theta_id, ll: each field's value at each row of a theta table (theta_id and parameters), for grids too large for
-    relational sums. A field is split over as many tasks as there are slices of 16 rows; each transforms the field once."""
-    names = [p.name for p in kernel.params]
-    table = theta.select("theta_id", *names, F.floor((F.row_number().over(Window.orderBy("theta_id")) - 1) / 16).alias("_slice"))
+    """keys, theta_id, ll: each field's value at each row of a theta table (theta_id and parameters), by fast transforms in tasks.
 
-    def run(obs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(obs) or not len(rows):
-            return pd.DataFrame(columns=[*keys, "theta_id", "ll"])
-        f = arrays.Field(dense(obs, grid, "z"), dense(obs, grid, "g"), grid.delta)
-        ll = [f.value(kernel, {n: float(r[n]) for n in names}) for r in rows[names].to_dict("records")]
-        return pd.DataFrame({k: obs[k].iloc[0] for k in keys} | {"theta_id": rows["theta_id"].to_numpy(), "ll": ll})
+    Fields become arrays once; parameter rows are dealt by a hash to slices of about SLICE rows, and a task takes a field and a slice:
+    the slices, not the rows, multiply the fields.
+    """
+    names = [p.name for p in kernel.params]
+    count = theta.count()
+    slices = max(1, -(-count // SLICE))
+    table = theta.select("theta_id", *names, F.pmod(F.xxhash64("theta_id"), F.lit(slices)).cast("int").alias("_slice"))
+    packed = table.groupBy("_slice").agg(F.collect_list(F.struct("theta_id", *(F.col(n).cast("double").alias(n) for n in names))).alias("_rows"))
+    packed = F.broadcast(packed) if count <= 100_000 else packed
+    spread = as_arrays(field, grid, keys).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    if slices > 1:
+        spread = spread.repartition(*keys, "_slice")
+    kind = theta.schema["theta_id"].dataType.simpleString()
 
-    slices = table.select("_slice").distinct()
-    spread = field.crossJoin(F.broadcast(slices))  # a field for each slice of parameter rows
-    wanted = field.select(*keys).distinct().crossJoin(F.broadcast(table))
-    left, right = (t.select(*(F.col(c).alias(c) for c in t.columns)).toDF(*t.columns) for t in (spread, wanted))
-    schema = (_keys(field, keys) + ", " if keys else "") + f"theta_id {theta.schema['theta_id'].dataType.simpleString()}, ll double"
-    return left.groupBy(*keys, "_slice").cogroup(right.groupBy(*keys, "_slice")).applyInPandas(run, schema)
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                z, g = _dense_batch(batch.slice(i, 1), grid)
+                rows = batch.column("_rows")[i].values
+                t = {n: np.asarray(rows.field(n)) for n in names}
+                f = arrays.Fields(z, g, grid.delta)
+                out = []
+                each = max(1, BATCH_CELLS // grid.n_points) if kernel.vectorised else 1
+                for a in range(0, len(rows), each):
+                    part = {n: v[a : a + each] if kernel.vectorised else float(v[a]) for n, v in t.items()}
+                    e = f.e(kernel, part, np.zeros(min(each, len(rows) - a), np.int64))
+                    axes = tuple(range(1, e.ndim))
+                    ok = (e > 0).all(axes)
+                    e = np.where(e > 0, e, 1.0)
+                    out.append(np.where(ok, np.mean(np.log(e) + f.p / e, axes), math.inf))
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(batch.column(k).slice(i, 1).to_pylist() * n, batch.schema.field(k).type) for k in keys), rows.field("theta_id"), pa.array(np.concatenate(out))], names=[*keys, "theta_id", "ll"])
+
+    schema = (_keys(field, keys) + ", " if keys else "") + f"theta_id {kind}, ll double"
+    return spread.join(packed, "_slice").select(*keys, "at", "z", "g", "_rows").mapInArrow(run, schema)
+
+
+def values(field: DataFrame, grid: GridSpec, keys: list[str], kernel, theta: DataFrame) -> DataFrame:
+    """keys, theta_id, ll: the likelihood values by the plan that strategy() names."""
+    from meshwave.operators import likelihood, spectral
+
+    plan = strategy(grid, 1 if not keys else 17, theta.count())
+    if plan == "task":
+        return scan(field, grid, keys, kernel, theta)
+    if plan == "rows":
+        return large_values(field, grid, keys, kernel, theta)
+    e = spectral.expected_periodogram(spectral.spatial_kernel(field, grid, keys), grid, keys, kernel, theta)
+    return likelihood.whittle(spectral.periodogram(field, grid, keys), e, grid, keys, [*keys, "theta_id"])
+
+
+def large_values(field: DataFrame, grid: GridSpec, keys: list[str], kernel, theta: DataFrame) -> DataFrame:
+    """keys, theta_id, ll of fields too large for a task: transforms of lines for the field, its spatial kernel and the expected
+    periodogram; what is joined are frequencies and lags, dealt by their places. Parameter rows are broadcast (checked: at most 10,000)."""
+    if theta.count() > 10_000:
+        raise ValueError("parameter rows of large fields go in parts of at most 10,000")
+    n = F.lit(float(grid.n_points))
+    size = tuple(2 * k - 1 for k in grid.shape)
+    padded = GridSpec(size, grid.delta)
+    ks, ts = grid.axes("k"), grid.axes("t")
+    j = large_dft(field, grid, F.col("z") * F.col("g"), keys=keys)
+    per = j.select(*keys, *ks, ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / n).alias("p"))
+    m = large_dft(field, padded, F.col("g"), keys=keys)
+    power = m.select(*keys, *(F.col(f"k{a}").alias(f"i{a}") for a in range(grid.ndim)), (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("w"))
+    back = large_dft(power, padded, F.col("w"), keys=keys)
+    lag = [F.when(F.col(f"k{a}") < k, F.col(f"k{a}")).otherwise(F.col(f"k{a}") - (2 * k - 1)).alias(f"t{a}") for a, k in enumerate(grid.shape)]
+    cg = back.select(*keys, *lag, (F.col("re") / F.lit(float(padded.n_points)) / n).alias("cg"))
+    t = {p.name: F.col(p.name) for p in kernel.params}
+    cov = cg.crossJoin(F.broadcast(theta)).select(*keys, "theta_id", *(F.pmod(F.col(x), F.lit(k)).alias(f"i{a}") for a, (x, k) in enumerate(zip(ts, grid.shape, strict=True))), (kernel.cov([F.col(x) * F.lit(d) for x, d in zip(ts, grid.delta, strict=True)], t) * F.col("cg")).alias("c"))
+    folded = cov.groupBy(*keys, "theta_id", *grid.axes("i")).agg(F.sum("c").alias("c"))
+    e = large_dft(folded, grid, F.col("c"), keys=[*keys, "theta_id"]).select(*keys, "theta_id", *ks, F.col("re").alias("e"))
+    return per.join(e, [*keys, *ks]).groupBy(*keys, "theta_id").agg((F.sum(F.log("e") + F.col("p") / F.col("e")) / n).alias("ll"))
 
 
 def simulate(spark: SparkSession, grid: GridSpec, kernel, theta: dict, n_sims: int, seed: int, mask: np.ndarray | None = None) -> DataFrame:
-    """sim_id, i0.., z, g: independent Gaussian fields; a field depends on (seed, sim_id) alone, however tasks are dealt."""
-    lam, _ = arrays.embedding(kernel, theta, grid.shape, grid.delta)
-    handed = spark.sparkContext.broadcast((lam, mask))  # one grid, known size
+    """sim_id, i0.., z, g: independent Gaussian fields; a field depends on (seed, sim_id) alone, however tasks are dealt. The embedding is
+    computed in each task."""
 
     def run(batches):
-        lam_here, g = handed.value
+        lam = None
         for pdf in batches:
             for sim in pdf["id"]:
-                z = arrays.simulate(lam_here, grid.shape, np.random.default_rng([seed, int(sim)]))
+                if lam is None:
+                    lam, _ = arrays.embedding(kernel, theta, grid.shape, grid.delta)
+                z = arrays.simulate(lam, grid.shape, np.random.default_rng([seed, int(sim)]))
                 rows = pd.DataFrame({"sim_id": np.int64(sim)} | _long(z, ["z"], "i"))
-                rows["g"] = 1.0 if g is None else g.ravel()
+                rows["g"] = 1.0 if mask is None else mask.ravel()
                 rows["z"] *= rows["g"]
                 yield rows
 
@@ -148,18 +328,31 @@ def simulated_values(spark: SparkSession, grid: GridSpec, kernel, truth: dict, t
     return spark.range(n_sims).mapInPandas(run, "sim_id long, ll double")
 
 
-def simulate_bivariate(spark: SparkSession, grid: GridSpec, model, theta: dict, n_sims: int, seed: int) -> DataFrame:
-    """sim_id, var, i0.., z, g: two variates of a bivariate model."""
+def simulate_several(spark: SparkSession, grid: GridSpec, model, theta: dict, n_sims: int, seed: int, variates: int = 2, periodic: bool = False, spectral: bool = False) -> DataFrame:
+    """sim_id, var, i0.., z, g: fields of a model of several variates. periodic: covariances wrap around the grid itself, so opposite
+    edges fit. spectral: re and im of the transform at k0.. instead of z and g."""
 
     def run(batches):
-        cov = model.cov(arrays.lag_grids(grid.shape, grid.delta), theta)
+        lags = arrays.torus_lags(grid.shape, grid.delta) if periodic else arrays.lag_grids(grid.shape, grid.delta)
+        cov = model.cov(lags, theta)
         for pdf in batches:
             for sim in pdf["id"]:
-                z = arrays.simulate_multivariate(cov, 2, grid.shape, np.random.default_rng([seed, int(sim)]))
-                for v in (0, 1):
-                    yield pd.DataFrame({"sim_id": np.int64(sim), "var": np.int32(v)} | _long(z[..., v], ["z"], "i") | {"g": 1.0})
+                z = arrays.simulate_multivariate(cov, variates, grid.shape, np.random.default_rng([seed, int(sim)]))
+                for v in range(variates):
+                    head = {"sim_id": np.int64(sim), "var": np.int32(v)}
+                    if spectral:
+                        j = np.fft.fftn(z[..., v]) / math.sqrt(grid.n_points)
+                        yield pd.DataFrame(head | _long(j.real, ["re"]) | {"im": j.imag.ravel()})
+                    else:
+                        yield pd.DataFrame(head | _long(z[..., v], ["z"], "i") | {"g": 1.0})
 
-    return spark.range(n_sims).mapInPandas(run, "sim_id long, var int, " + "".join(f"i{a} int, " for a in range(grid.ndim)) + "z double, g double")
+    axis, tail = ("k", "re double, im double") if spectral else ("i", "z double, g double")
+    return spark.range(n_sims).mapInPandas(run, "sim_id long, var int, " + "".join(f"{axis}{a} int, " for a in range(grid.ndim)) + tail)
+
+
+def simulate_bivariate(spark: SparkSession, grid: GridSpec, model, theta: dict, n_sims: int, seed: int, periodic: bool = False, spectral: bool = False) -> DataFrame:
+    """As simulate_several, of two variates."""
+    return simulate_several(spark, grid, model, theta, n_sims, seed, 2, periodic, spectral)
 
 
 def simulate_separable(spark: SparkSession, grid: GridSpec, kernel, theta: dict, n_sims: int, seed: int, terms: int = 100) -> DataFrame:
@@ -184,10 +377,12 @@ def simulate_separable(spark: SparkSession, grid: GridSpec, kernel, theta: dict,
     return spark.range(n_sims).mapInPandas(run, "sim_id long, " + "".join(f"i{a} int, " for a in range(grid.ndim)) + "z double, g double")
 
 
-def large_dft(field: DataFrame, grid: GridSpec, value: Column) -> DataFrame:
-    """k0.., re, im of one field too large for a task: a fast transform of each line of the last axis, a shuffle that turns lines, the next
+def large_dft(field: DataFrame, grid: GridSpec, value: Column, keys: list[str] = ()) -> DataFrame:
+    """keys, k0.., re, im of fields too large for a task: a fast transform of each line of the last axis, a shuffle that turns lines, the next
     axis, and so on. Each task holds lines, whose length is one axis'."""
-    now = field.select(*grid.axes("i"), value.alias("re"), F.lit(0.0).alias("im"))
+    keys = list(keys)
+    now = field.select(*keys, *grid.axes("i"), value.alias("re"), F.lit(0.0).alias("im"))
+    kinds = "".join(f"`{k}` {field.schema[k].dataType.simpleString()}, " for k in keys)
 
     def lines(a: int, line: list[str]):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -200,8 +395,8 @@ def large_dft(field: DataFrame, grid: GridSpec, value: Column) -> DataFrame:
 
     for a in reversed(range(grid.ndim)):
         line = [f"i{b}" if b < a else f"k{b}" for b in range(grid.ndim) if b != a]
-        now = now.groupBy(*line).applyInPandas(lines(a, line), "".join(f"{c} int, " for c in line) + f"k{a} int, re double, im double")
-    return now.select(*grid.axes("k"), "re", "im")
+        now = now.groupBy(*keys, *line).applyInPandas(lines(a, [*keys, *line]), kinds + "".join(f"{c} int, " for c in line) + f"k{a} int, re double, im double")
+    return now.select(*keys, *grid.axes("k"), "re", "im")
 
 
 # ------------------------------------------------------------------ uncertainty
@@ -219,8 +414,9 @@ def exact_sums(spark: SparkSession, grid: GridSpec, g: np.ndarray, kernel, theta
     weights (arrays over the grid's frequencies). Offsets are tasks: one transform each gives every (i, j). relation: the unconjugated
     covariance, by k' = -k'."""
     names = list(weights)
-    cov = np.broadcast_to(kernel.cov(arrays.lag_grids(grid.shape, grid.delta), theta), [2 * n - 1 for n in grid.shape])
-    handed = spark.sparkContext.broadcast((cov, g, weights))
+    if grid.n_points > ONE_TASK >> 4:
+        raise ValueError("weights and mask of so large a grid do not go to each task; take jmatrix_sample")
+    handed = spark.sparkContext.broadcast((g, weights))  # some arrays of the grid, whose size is checked
 
     def flip(x: np.ndarray) -> np.ndarray:
         for axis in range(x.ndim):
@@ -228,7 +424,8 @@ def exact_sums(spark: SparkSession, grid: GridSpec, g: np.ndarray, kernel, theta
         return x
 
     def run(batches):
-        c, mask, w = handed.value
+        mask, w = handed.value
+        c = np.broadcast_to(kernel.cov(arrays.lag_grids(grid.shape, grid.delta), theta), [2 * n - 1 for n in grid.shape])
         for pdf in batches:
             totals = np.zeros((len(names), len(names)))
             for m in pdf.to_numpy():
@@ -246,7 +443,10 @@ def exact_sums(spark: SparkSession, grid: GridSpec, g: np.ndarray, kernel, theta
 
 
 def jmatrix(spark: SparkSession, grid: GridSpec, g: np.ndarray, kernel, theta: dict, names: list[str]) -> DataFrame:
-    """i, j, value: covariance of the score, 2 / N^2 times the exact sums of de / e^2."""
+    """i, j, value: covariance of the score, 2 / N^2 times the exact sums of de / e^2; on grids of over EXACT cells, whose sums cost the
+    square of the cells, the sample covariance of simulated scores."""
+    if grid.n_points > EXACT:
+        return jmatrix_sample(spark, grid, g, kernel, theta, names)
     f = arrays.Field(np.zeros(grid.shape), g, grid.delta)
     e = f.e(kernel, theta)
     w = {n: d / e**2 for n, d in zip(names, f.de(kernel, theta, names), strict=True)}
@@ -256,18 +456,17 @@ def jmatrix(spark: SparkSession, grid: GridSpec, g: np.ndarray, kernel, theta: d
 
 def jmatrix_sample(spark: SparkSession, grid: GridSpec, g: np.ndarray, kernel, theta: dict, names: list[str], n_sims: int = 1000, seed: int = 0) -> DataFrame:
     """i, j, value: sample covariance of simulated scores."""
-    lam, _ = arrays.embedding(kernel, theta, grid.shape, grid.delta)
-    f = arrays.Field(np.zeros(grid.shape), g, grid.delta)
-    e = f.e(kernel, theta)
-    handed = spark.sparkContext.broadcast((lam, g, e, f.de(kernel, theta, names)))
-
     def run(batches):
-        lam_here, mask, e_here, de = handed.value
+        e = None
         for pdf in batches:
             rows = []
             for sim in pdf["id"]:
-                p = arrays.periodogram(arrays.simulate(lam_here, grid.shape, np.random.default_rng([seed, int(sim)])), mask)
-                rows.append([np.mean((e_here - p) * d / e_here**2) for d in de])
+                if e is None:
+                    lam, _ = arrays.embedding(kernel, theta, grid.shape, grid.delta)
+                    f = arrays.Field(np.zeros(grid.shape), g, grid.delta)
+                    e, de = f.e(kernel, theta), f.de(kernel, theta, names)
+                p = arrays.periodogram(arrays.simulate(lam, grid.shape, np.random.default_rng([seed, int(sim)])), g)
+                rows.append([np.mean((e - p) * d / e**2) for d in de])
             yield pd.DataFrame(rows, columns=[f"s_{n}" for n in names])
 
     scores = spark.range(n_sims).mapInPandas(run, ", ".join(f"s_{n} double" for n in names))
@@ -350,7 +549,7 @@ def generalized_chi2(spark: SparkSession, weights: list[float], observed: float,
     for i, w in enumerate(weights):
         r = F.randn(seed * 1000 + i)
         total = total + F.lit(float(w)) * r * r
-    draws = spark.range(n, numPartitions=1).select(total.alias("x")) if n <= 100_000 else spark.range(n).select(total.alias("x"))
+    draws = spark.range(n, numPartitions=16).select(total.alias("x"))  # draws depend on the number of partitions, which is the same for all n
     return draws.agg(F.avg((F.col("x") >= F.lit(float(observed))).cast("double")).alias("p_value"), F.percentile("x", 0.95).alias("q95"))
 
 
@@ -377,16 +576,7 @@ def likelihood_ratio(field: DataFrame, grid: GridSpec, keys: list[str], kernel,
         (theta, ll), (_, ll0) = out
         e, de = f.e(kernel, theta), f.de(kernel, theta, names)
         h = np.array([[np.mean(a * b / e**2) for b in de] for a in de])
-        cov = np.broadcast_to(kernel.cov(f.lags, theta), f.cg.shape)
-        w = [d / e**2 for d in de]
-        j = np.zeros_like(h)
-        for m in np.ndindex(*(2 * n - 1 for n in grid.shape)):
-            m = tuple(x - (n - 1) for x, n in zip(m, grid.shape, strict=True))
-            k2 = np.abs(arrays.dft_diagonal(cov, g, m)) ** 2
-            for a in range(len(names)):
-                for b in range(len(names)):
-                    j[a, b] += np.sum(arrays.shifted(w[a], m)[0] * arrays.shifted(w[b], m)[1] * k2)
-        j *= 2 / z.size**2
+        j = arrays.exact_score_covariance(np.broadcast_to(kernel.cov(f.lags, theta), f.cg.shape), g, [d / e**2 for d in de])
         pad = np.zeros_like(h)
         at = [names.index(n) for n in kept]
         if at:
@@ -400,22 +590,37 @@ def likelihood_ratio(field: DataFrame, grid: GridSpec, keys: list[str], kernel,
     return field.groupBy(*keys).applyInPandas(run, _keys(field, keys) + ", lkh_ratio double, max_eig double, p_value double, test_result boolean")
 
 
-def krige(points: DataFrame, targets: DataFrame, keys: list[str], ndim: int, kernel, theta: dict) -> DataFrame:
-    """keys, pt_id, mean, variance at targets (keys, pt_id, x0..) from points (keys, x0.., y); one solve a key, whose observations fit a task."""
+def krige(points: DataFrame, targets: DataFrame, keys: list[str], ndim: int, kernel, theta: dict, neighbours: int | None = None, most: int = 4000) -> DataFrame:
+    """keys, pt_id, mean, variance at targets (keys, pt_id, x0..) from points (keys, x0.., y).
+
+    A key's points fit a task. All of them enter one solve, of at most `most` points (more raise); with `neighbours`, each target has the
+    nearest so many, by squares of space: a target's cost then does not grow with the points.
+    """
     xs = [f"x{d}" for d in range(ndim)]
+    diff = lambda p, q: [p[:, None, d] - q[None, :, d] for d in range(ndim)]
+
+    def solved(a: np.ndarray, y: np.ndarray, b: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+        if not len(a):
+            return np.zeros(len(b)), np.full(len(b), prior)
+        cross = kernel.cov(diff(b, a), theta)
+        w = np.linalg.solve(kernel.cov(diff(a, a), theta), cross.T)
+        return w.T @ y, prior - np.sum(cross.T * w, 0)
 
     def run(obs: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         if not len(new):
             return pd.DataFrame(columns=[*keys, "pt_id", "mean", "variance"])
-        a, b = obs[xs].to_numpy(), new[xs].to_numpy()
-        diff = lambda p, q: [p[:, None, d] - q[None, :, d] for d in range(ndim)]
-        prior = np.broadcast_to(kernel.cov([np.zeros(1)] * ndim, theta), 1)[0]
-        if len(a):
-            cross = kernel.cov(diff(b, a), theta)
-            w = np.linalg.solve(kernel.cov(diff(a, a), theta), cross.T)
-            mean, var = w.T @ obs["y"].to_numpy(), prior - np.sum(cross.T * w, 0)
+        a, b, y = obs[xs].to_numpy(float), new[xs].to_numpy(float), obs["y"].to_numpy(float)
+        prior = float(np.broadcast_to(kernel.cov([np.zeros(1)] * ndim, theta), 1)[0])
+        if neighbours is None:
+            if len(a) > most:
+                raise ValueError(f"{len(a)} points in one system; give a number of neighbours")
+            mean, var = solved(a, y, b, prior)
         else:
-            mean, var = np.zeros(len(b)), np.full(len(b), prior)
+            mean, var = np.zeros(len(b)), np.zeros(len(b))
+            for i in range(len(b)):
+                far = ((a - b[i]) ** 2).sum(1)
+                near = np.sort(np.argpartition(far, neighbours - 1)[:neighbours]) if len(a) > neighbours else np.arange(len(a))
+                mean[i : i + 1], var[i : i + 1] = solved(a[near], y[near], b[i : i + 1], prior)
         return pd.DataFrame({k: new[k].to_numpy() for k in keys} | {"pt_id": new["pt_id"].to_numpy(), "mean": mean, "variance": np.maximum(var, 0)})
 
     # renamed columns: both sides may come from one table

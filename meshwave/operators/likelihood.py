@@ -59,6 +59,18 @@ def amplitude(per: DataFrame, ep: DataFrame, grid: GridSpec, keys: list[str], by
     return per.join(ep, [*keys, *grid.axes("k")]).groupBy(*by).agg(F.sqrt(F.avg(F.col("p") / F.col("e"))).alias("sigma"))
 
 
+def residuals(per: DataFrame, ep: DataFrame, grid: GridSpec, keys: list[str]) -> DataFrame:
+    """keys, k0.., u: 1 - exp(-p / e), uniform under the model."""
+    return per.join(ep, [*keys, *grid.axes("k")]).select(*keys, *grid.axes("k"), (1.0 - F.exp(-F.col("p") / F.col("e"))).alias("u"))
+
+
+def chi_square(u: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
+    """by, bins, statistic: chi-square of binned residuals; bins behind the last occupied one do not count."""
+    n = u.groupBy(*by, F.least(F.floor(F.col("u") * float(bins)).cast("int"), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    t = n.groupBy(*by).agg((F.max("bin") + 1).alias("bins"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum("n").alias("total"))
+    return t.select(*by, F.col("bins").cast("int").alias("bins"), (F.col("sq") * F.col("bins") / F.col("total") - F.col("total")).alias("statistic"))
+
+
 # ------------------------------------------------------------------ two variates
 
 

@@ -76,14 +76,42 @@ def cross_periodogram(field: DataFrame, grid: GridSpec, keys: list[str], taper:
     return a.join(b, ks).select(*ks, "a", "b", ((F.col("_ra") * F.col("_rb") + F.col("_ia") * F.col("_ib")) / n).alias("re"), ((F.col("_ia") * F.col("_rb") - F.col("_ra") * F.col("_ib")) / n).alias("im"))
 
 
+#: Results kept by what they compute: the plan's hash, and the plans that share it.
+_KEPT: dict[int, list[DataFrame]] = {}
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, persisted on executors; a frame that computes the same from the same tables is found again and not computed twice."""
+    for other in _KEPT.setdefault(df.semanticHash(), []):
+        if other.sparkSession is df.sparkSession and other.sameSemantics(df):
+            return other
+    _KEPT[df.semanticHash()].append(df)
+    return df.persist()
+
+
+def forget() -> None:
+    """Unpersist all that kept() holds."""
+    for group in _KEPT.values():
+        for df in group:
+            df.unpersist()
+    _KEPT.clear()
+
+
 # ------------------------------------------------------------------ spatial kernels
 
+#: Cells from which spatial kernels of two or more axes come from transforms, not from pairs of cells.
+PAIRS = 1024
+
 
 def spatial_kernel(mask: DataFrame, grid: GridSpec, keys: list[str], taper: Column | None = None, variates: bool = False) -> DataFrame:
     """keys, t0.., cg: sum of g(s) g(s + t) over N. variates: also a and b, the variates at s + t and at s (column `var`).
 
-    Pairs of cells meet through the lines of the last axis; lines are arrays, so rows in the join number lines squared, not cells squared.
+    Small grids: pairs of cells meet through the lines of the last axis; lags without a pair have no row. Grids of over PAIRS cells and
+    two or more axes: the squared transform at 2 n - 1 frequencies, transformed back; all lags have a row, and the cost is cells times the
+    sum of the axes' lengths.
     """
+    if grid.n_points > PAIRS and grid.ndim > 1 and not variates:
+        return _kernel_by_transforms(mask, grid, keys, taper)
     g = F.col("g") if taper is None else F.col("g") * taper
     last = grid.ndim - 1
     heads = [f"i{a}" for a in range(last)]
@@ -99,6 +127,16 @@ def spatial_kernel(mask: DataFrame, grid: GridSpec, keys: list[str], taper: Colu
     return rows.groupBy(*keys, *grid.axes("t"), *extra).agg((F.sum("_p") / F.lit(float(grid.n_points))).alias("cg"))
 
 
+def _kernel_by_transforms(mask: DataFrame, grid: GridSpec, keys: list[str], taper: Column | None = None) -> DataFrame:
+    size = [2 * n - 1 for n in grid.shape]
+    g = F.col("g") if taper is None else F.col("g") * taper
+    j = dft(mask, keys, {f"i{a}": (f"k{a}", m, m) for a, m in enumerate(size)}, g)
+    power = j.select(*keys, *grid.axes("k"), (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("w"))
+    back = dft(power, keys, {f"k{a}": (f"_t{a}", m, m) for a, m in enumerate(size)}, F.col("w"))
+    lag = [F.when(F.col(f"_t{a}") < n, F.col(f"_t{a}")).otherwise(F.col(f"_t{a}") - (2 * n - 1)).alias(f"t{a}") for a, n in enumerate(grid.shape)]
+    return back.select(*keys, *lag, (F.col("re") / F.lit(float(math.prod(size) * grid.n_points))).alias("cg"))
+
+
 def full_kernel(table: DataFrame, grid: GridSpec) -> DataFrame:
     """Lags with cg of the full grid in closed form: product of 1 - |t| / n."""
     out = F.lit(1.0)
@@ -232,3 +270,55 @@ def expected_separable(spark, grid: GridSpec, kernel, theta: dict, grads: list[s
         return value
 
     return out.select(*grid.axes("k"), product.alias("e"), *(slope(g).alias(f"de_{g}") for g in grads))
+
+
+# ------------------------------------------------------------------ covariances of the transform
+
+
+def dft_covariance(cells: DataFrame, grid: GridSpec, kernel, theta: dict, relation: bool = False) -> DataFrame:
+    """k0.., l0.., re, im: E[J(k) conj J(l)] over the number of cells, or without the conjugate (relation), for all pairs of frequencies of a
+    masked grid (cells: i0.., g): the covariance matrix of the cells, transformed on either side. The result has cells squared rows."""
+    at = F.lit(0).cast("long")
+    for a, n in enumerate(grid.shape):
+        at = at * n + F.col(f"i{a}")
+    m = covariance_matrix(cells.withColumn("pt_id", at), grid, kernel, theta)
+
+    def axes(c: str, name: str) -> list[Column]:
+        out, rest = [], F.col(c)
+        for a in reversed(range(grid.ndim)):
+            n = grid.shape[a]
+            out.append(F.pmod(rest, F.lit(n)).cast("int").alias(f"{name}{a}"))
+            rest = F.floor(rest / n)
+        return out[::-1]
+
+    m = m.select(*axes("a_id", "i"), *axes("b_id", "j"), "c")
+    one = dft(m, grid.axes("j"), {f"i{a}": (f"k{a}", n, n) for a, n in enumerate(grid.shape)}, F.col("c"))
+    # the conjugate side: conj(dft(conj))
+    sign, n = 1.0 if relation else -1.0, F.lit(float(grid.n_points))
+    two = dft(one.withColumn("im", F.lit(sign) * F.col("im")), grid.axes("k"), {f"j{a}": (f"l{a}", n, n) for a, n in enumerate(grid.shape)}, F.col("re"), F.col("im"))
+    return two.select(*grid.axes("k"), *grid.axes("l"), (F.col("re") / n).alias("re"), (F.lit(sign) * F.col("im") / n).alias("im"))
+
+
+def dft_diagonal(mask: DataFrame, grid: GridSpec, kernel, theta: dict, offset: tuple[int, ...], relation: bool = False) -> DataFrame:
+    """k0.., re, im: the transform's covariance at pairs (k, k - m), or its relation at pairs k + k' = m, from the offset kernel."""
+    cov = autocovariance(offset_kernel(mask, grid, [], offset), grid, kernel, theta)
+    at = {f"t{a}": F.pmod(F.col(f"t{a}"), F.lit(n)) for a, n in enumerate(grid.shape)}
+    cov = cov.select(*grid.axes("t"), (F.col("re") * F.col("c")).alias("re"), (F.col("im") * F.col("c")).alias("im")).withColumns(at)
+    cov = cov.groupBy(*grid.axes("t")).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    out = dft(cov, [], {f"t{a}": (f"k{a}", n, n) for a, n in enumerate(grid.shape)}, F.col("re"), F.col("im"))
+    for a, (m, n) in enumerate(zip(offset, grid.shape, strict=True)):
+        k = F.col(f"k{a}")
+        lo, hi = (max(m - n + 1, 0), min(m, n - 1)) if relation else (max(0, m), min(n, n + m) - 1)
+        out = out.where((k >= lo) & (k <= hi))
+    return out
+
+
+def correlation_squares(dft_cov: DataFrame, grid: GridSpec) -> DataFrame:
+    """k0.., l0.., k2: squared modulus of dft_covariance over the product of the variances."""
+    ks, ls = grid.axes("k"), grid.axes("l")
+    same = F.lit(True)
+    for k, x in zip(ks, ls, strict=True):
+        same = same & (F.col(k) == F.col(x))
+    own = dft_cov.where(same)
+    both = dft_cov.join(own.select(*ks, F.col("re").alias("_v")), ks).join(own.select(*(F.col(k).alias(x) for k, x in zip(ks, ls, strict=True)), F.col("re").alias("_u")), ls)
+    return both.select(*ks, *ls, ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("_v") * F.col("_u"))).alias("k2"))

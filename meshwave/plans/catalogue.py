@@ -156,11 +156,13 @@ def spatial_kernel_1d(spark, d):
 
 
 LINES_SQL = """lr as (select cast(l_quantity as int) - 1 as i0, cast(round(l_discount * 100) as int) as i1, cast(round(l_tax * 100) as int) as i2, avg(l_extendedprice) as z
-from lineitem where cast(l_quantity as int) between 1 and 10 and cast(round(l_discount * 100) as int) between 0 and 10 and cast(round(l_tax * 100) as int) between 0 and 8 group by all),
+from lineitem where cast(l_quantity as int) between 1 and 50 and cast(round(l_discount * 100) as int) between 0 and 10 and cast(round(l_tax * 100) as int) between 0 and 8 group by all),
 l as (select i0, i1, i2, (z - m) / s as z from lr, (select avg(z) as m, stddev_pop(z) as s from lr))"""
 
 
-@query(f"with {LINES_SQL} select a.i0 - b.i0 as t0, a.i1 - b.i1 as t1, a.i2 - b.i2 as t2, {rnd('count(*) / 990e0')} as cg from l a, l b group by all")
+@query(f"""with {LINES_SQL}, n as (select a.i0 - b.i0 as t0, a.i1 - b.i1 as t1, a.i2 - b.i2 as t2, count(*) as n from l a, l b group by all),
+h as (select cast(t0 as int) as t0, cast(t1 as int) as t1, cast(t2 as int) as t2 from range(-49, 50) x(t0), range(-10, 11) y(t1), range(-8, 9) w(t2))
+select t0, t1, t2, {rnd('coalesce(n, 0) / 4950e0')} as cg from h left join n using (t0, t1, t2)""")
 def spatial_kernel_3d(spark, d):
     return rounded(S.spatial_kernel(src.line_field(spark, d), src.LINES, []), "cg")
 
@@ -304,14 +306,14 @@ def covariance_matrix(spark, d):
     return rounded(S.covariance_matrix(cells, COARSE, K.Exponential(), EXP), "c")
 
 
-PTS = "a as (select vec_id as a_id, cast(embedding[1] as double) as x0, cast(embedding[2] as double) as x1, cast(embedding[3] as double) as x2 from embeddings where vec_id < 25), b as (select vec_id as b_id, cast(embedding[1] as double) as y0, cast(embedding[2] as double) as y1, cast(embedding[3] as double) as y2 from embeddings where vec_id between 25 and 34)"
+PTS = "p as (select vec_id, cast(embedding[1] as double) as x0, cast(embedding[2] as double) as x1, cast(embedding[3] as double) as x2 from embeddings), a as (select vec_id as a_id, x0, x1, x2 from p where vec_id % 100 = 0), b as (select vec_id as b_id, x0 as y0, x1 as y1, x2 as y2 from p)"
 
 
 @query(f"with {PTS} select a_id, b_id, {rnd('exp(-(power(x0 - y0, 2) + power(x1 - y1, 2) + power(x2 - y2, 2)) / 2e0)')} as c from a, b")
 def covariance_points(spark, d):
-    """25 points against 10, in three dimensions."""
+    """Vectors whose id is divisible by 100 against all, in three dimensions."""
     p = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("pt_id"), *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(3)))
-    h = G.lag_matrix(p.where("pt_id < 25"), p.where("pt_id between 25 and 34"), 3)
+    h = G.lag_matrix(p.where("pt_id % 100 = 0"), p, 3)
     return h.select("a_id", "b_id", r6(K.SquaredExponential().cov([F.col(f"h{i}") for i in range(3)], {"rho": F.lit(1.0), "sigma": F.lit(1.0)})).alias("c"))
 
 
@@ -344,9 +346,9 @@ def periodogram_fft_embeddings(spark, d):
     return rounded(W.periodograms(src.vector_fields(spark, d), G.GridSpec((64,)), ["vec_id"]), "p")
 
 
-@query(f"""with {LINES_SQL}, kk as (select cast(k0 as int) as k0, cast(k1 as int) as k1, cast(k2 as int) as k2 from range(10) x(k0), range(11) y(k1), range(9) w(k2)),
-j as (select k0, k1, k2, z, {Q.TAU} * (k0 * i0 / 10e0 + k1 * i1 / 11e0 + k2 * i2 / 9e0) as a from l, kk)
-select k0, k1, k2, {rnd('(power(sum(z * cos(a)), 2) + power(sum(z * sin(a)), 2)) / 990e0')} as p from j group by all""")
+@query(f"""with {LINES_SQL}, kk as (select cast(k0 as int) as k0, cast(k1 as int) as k1, cast(k2 as int) as k2 from range(50) x(k0), range(11) y(k1), range(9) w(k2)),
+j as (select k0, k1, k2, z, {Q.TAU} * (k0 * i0 / 50e0 + k1 * i1 / 11e0 + k2 * i2 / 9e0) as a from l, kk)
+select k0, k1, k2, {rnd('(power(sum(z * cos(a)), 2) + power(sum(z * sin(a)), 2)) / 4950e0')} as p from j group by all""")
 def periodogram_3d(spark, d):
     return rounded(S.periodogram(src.line_field(spark, d), src.LINES, []), "p")
 
@@ -487,8 +489,15 @@ def whittle(spark, d):
     return click_per(spark, d).join(e, ["k0", "k1"]).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(L.whittle_term())).alias("ll"))
 
 
-@query(f"{SCAN_SQL}, {PER} select theta_id, {rnd('avg(ln(e) + p / e)')} as ll from p join e using (k0, k1) group by all")
+@query(f"{SCAN_SQL.replace('range(20)', 'range(100)')}, {PER} select theta_id, {rnd('avg(ln(e) + p / e)')} as ll from p join e using (k0, k1) group by all")
 def whittle_theta_scan(spark, d):
+    """100 parameter rows, by the plan that the sizes ask for."""
+    return rounded(W.values(click(spark, d), GRID, ["field_id"], K.Exponential(), theta_scan(spark, 100)).select("theta_id", "ll"), "ll")
+
+
+@query(f"{SCAN_SQL}, {PER} select theta_id, {rnd('avg(ln(e) + p / e)')} as ll from p join e using (k0, k1) group by all")
+def whittle_scan_sums(spark, d):
+    """20 rows by relational sums."""
     e = S.expected_periodogram(click_kernel(spark, d), GRID, [], K.Exponential(), theta_scan(spark))
     return rounded(L.whittle(click_per(spark, d), e, GRID, [], ["theta_id"]), "ll")
 
@@ -499,6 +508,12 @@ def whittle_scan_fft(spark, d):
     return rounded(W.scan(click(spark, d), GRID, ["field_id"], K.Exponential(), theta_scan(spark)).select("theta_id", "ll"), "ll")
 
 
+@query(f"{SCAN_SQL}, {PER} select theta_id, {rnd('avg(ln(e) + p / e)')} as ll from p join e using (k0, k1) where theta_id < 3 group by all")
+def whittle_scan_lines(spark, d):
+    """Three rows by transforms of lines, the plan of fields too large for a task."""
+    return rounded(W.large_values(click(spark, d), GRID, ["field_id"], K.Exponential(), theta_scan(spark, 3)).select("theta_id", "ll"), "ll")
+
+
 @query(f"{SCAN_SQL}, {PER}, w as (select theta_id, avg(ln(e) + p / e) as ll from p join e using (k0, k1) group by all) select theta_id, {rnd('ll')} as ll from w order by w.ll, theta_id limit 1")
 def argmin_theta(spark, d):
     e = S.expected_periodogram(click_kernel(spark, d), GRID, [], K.Exponential(), theta_scan(spark))
@@ -564,14 +579,14 @@ def bivariate_whittle(spark, d):
     return rounded(L.bivariate_whittle(S.cross_periodogram(src.event_pair(spark, d), GRID, []), pair_expected(spark, d), GRID, [], []), "ll")
 
 
-@query(f"""with {Q.PAIR}, {Q.KK}, {PAIR_DFT}, {PAIR_KERNEL}, rr as (select cast(i as int) as theta_id, -0.9e0 + 0.2e0 * i as r from range(10) t(i)),
+@query(f"""with {Q.PAIR}, {Q.KK}, {PAIR_DFT}, {PAIR_KERNEL}, rr as (select cast(i as int) as theta_id, -0.9e0 + 0.018e0 * i as r from range(100) t(i)),
 e0 as (select a, b, k0, k1, sum(cg * {Q.on_lags(Q.cov('exponential', '1e0', '1e0'))} * cos({Q.LAG_ANGLE})) as e, -sum(cg * {Q.on_lags(Q.cov('exponential', '1e0', '1e0'))} * sin({Q.LAG_ANGLE})) as e_im from cg, kk group by all),
 e as (select a, b, k0, k1, e, e_im from e0), {PAIR_LL},
 w as (select theta_id, e00, e11, r * er as er, r * ei as ei, p00, p11, pr, pi from x join y using (k0, k1), rr)
 select theta_id, {rnd('avg(ln(e00 * e11 - er * er - ei * ei) + (e11 * p00 + e00 * p11 - 2e0 * (er * pr + ei * pi)) / (e00 * e11 - er * er - ei * ei))')} as ll from w group by all""")
 def profile_correlation(spark, d):
     """The bivariate value over a table of correlations: one plan."""
-    theta = spark.range(10).select(F.col("id").cast("int").alias("theta_id"), (F.lit(-0.9) + 0.2 * F.col("id")).alias("r"), F.lit(1.0).alias("f"), F.lit(1.0).alias("rho"), F.lit(1.0).alias("sigma"))
+    theta = spark.range(100).select(F.col("id").cast("int").alias("theta_id"), (F.lit(-0.9) + 0.018 * F.col("id")).alias("r"), F.lit(1.0).alias("f"), F.lit(1.0).alias("rho"), F.lit(1.0).alias("sigma"))
     pair = src.event_pair(spark, d)
     e = S.expected_bivariate(S.spatial_kernel(pair, GRID, [], variates=True), GRID, [], BI_MODEL, theta)
     return rounded(L.bivariate_whittle(S.cross_periodogram(pair, GRID, []), e, GRID, [], ["theta_id"]), "ll")
@@ -596,15 +611,12 @@ dft as (select h.k0, h.k1, q.k0 as l0, q.k1 as l1, sum(re * cos(t) {{s}} im * si
 COV_SQL, REL_SQL = COV_DFT.format(s="-", o="+"), COV_DFT.format(s="+", o="-")
 
 
+def coarse(spark) -> DataFrame:
+    return G.cells(spark, COARSE).withColumn("g", checker())
+
+
 def coarse_dft(spark, relation: bool) -> DataFrame:
-    """k0, k1, l0, l1, re, im: E[J(k) conj J(l)], or without the conjugate: the two-sided transform of the covariance matrix."""
-    m = S.covariance_matrix(G.cells(spark, COARSE).withColumn("g", checker()).withColumn("pt_id", (F.col("i0") * 8 + F.col("i1")).cast("long")), COARSE, K.Exponential(), EXP)
-    m = m.select(*((F.col("a_id") / 8).cast("int").alias("i0"), (F.col("a_id") % 8).cast("int").alias("i1"), (F.col("b_id") / 8).cast("int").alias("j0"), (F.col("b_id") % 8).cast("int").alias("j1"), "c"))
-    one = S.dft(m, ["j0", "j1"], {"i0": ("k0", 6, 6), "i1": ("k1", 8, 8)}, F.col("c"))
-    sign = 1.0 if relation else -1.0
-    # the conjugate side: conj(dft(conj))
-    two = S.dft(one.withColumn("im", F.lit(sign) * F.col("im")), ["k0", "k1"], {"j0": ("l0", 6, 6), "j1": ("l1", 8, 8)}, F.col("re"), F.col("im"))
-    return two.select("k0", "k1", "l0", "l1", (F.col("re") / 48.0).alias("re"), (F.lit(sign) * F.col("im") / 48.0).alias("im"))
+    return S.dft_covariance(coarse(spark), COARSE, K.Exponential(), EXP, relation)
 
 
 @query(f"with {COV_SQL} select k0, k1, l0, l1, {rnd('re')} as re, {rnd('im')} as im from dft")
@@ -618,19 +630,7 @@ def dft_rel_matrix(spark, d):
 
 
 def diagonal(spark, offset: tuple[int, int], relation: bool) -> DataFrame:
-    """The transform's covariance at pairs (k, k - m), or relation at pairs k + k' = m, from the offset kernel's plan."""
-    mask = G.cells(spark, COARSE).withColumn("g", checker())
-    kernel = S.offset_kernel(mask, COARSE, [], offset)
-    cov = S.autocovariance(kernel, COARSE, K.Exponential(), EXP)
-    cov = cov.select("t0", "t1", (F.col("re") * F.col("c")).alias("re"), (F.col("im") * F.col("c")).alias("im"))
-    at = {f"t{a}": F.pmod(F.col(f"t{a}"), F.lit(n)) for a, n in enumerate(COARSE.shape)}
-    cov = cov.withColumns(at).groupBy("t0", "t1").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-    out = S.dft(cov, [], {"t0": ("k0", 6, 6), "t1": ("k1", 8, 8)}, F.col("re"), F.col("im"))
-    for a, (m, n) in enumerate(zip(offset, COARSE.shape, strict=True)):
-        k = F.col(f"k{a}")
-        lo, hi = (max(m - n + 1, 0), m) if relation else (max(0, m), min(n, n + m) - 1)
-        out = out.where((k >= lo) & (k <= hi))
-    return out
+    return S.dft_diagonal(coarse(spark), COARSE, K.Exponential(), EXP, offset, relation)
 
 
 @query(f"with {COV_SQL} select k0, k1, {rnd('re')} as re, {rnd('im')} as im, {rnd('re * re + im * im')} as abs2 from dft where l0 = k0 - 1 and l1 = k1 - 2")
@@ -658,11 +658,7 @@ def exact_summation2(spark, d):
 
 @query(f"with {COV_SQL} select x.k0, x.k1, x.l0, x.l1, {rnd('(x.re * x.re + x.im * x.im) / (p.re * q.re)')} as k2 from dft x join dft p on p.k0 = x.k0 and p.k1 = x.k1 and p.l0 = x.k0 and p.l1 = x.k1 join dft q on q.k0 = x.l0 and q.k1 = x.l1 and q.l0 = x.l0 and q.l1 = x.l1")
 def normalised_matrix(spark, d):
-    m = coarse_dft(spark, False)
-    own = m.where("k0 = l0 and k1 = l1").select("k0", "k1", F.col("re").alias("v"))
-    left = m.join(F.broadcast(own), ["k0", "k1"])
-    both = left.join(F.broadcast(own.select(F.col("k0").alias("l0"), F.col("k1").alias("l1"), F.col("v").alias("u"))), ["l0", "l1"])
-    return both.select("k0", "k1", "l0", "l1", r6((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("v") * F.col("u"))).alias("k2"))
+    return rounded(S.correlation_squares(coarse_dft(spark, False), COARSE), "k2")
 
 
 _RC = "exp(-sqrt(cast(t0 * t0 + t1 * t1 as double)) / 2e0)"
@@ -708,8 +704,7 @@ def jmatrix_sample_bivariate(spark, d):
 
 
 def residuals(spark, d) -> DataFrame:
-    e = S.expected_periodogram(click_kernel(spark, d), GRID, [], K.Exponential(), EXP)
-    return click_per(spark, d).join(e, ["k0", "k1"]).select("k0", "k1", (1.0 - F.exp(-F.col("p") / F.col("e"))).alias("u"))
+    return L.residuals(click_per(spark, d), S.expected_periodogram(click_kernel(spark, d), GRID, [], K.Exponential(), EXP), GRID, [])
 
 
 EXP_E = f"e as ({Q.ep_of({'e': Q.cov('exponential', '2e0', '1e0')})})"
@@ -722,10 +717,16 @@ def gof_residuals(spark, d):
 
 @query(f"{BASE}, {PER}, {EXP_E}, u as (select least(cast(floor((1e0 - exp(-p / e)) * 10e0) as int), 9) as bin from p join e using (k0, k1)), n as (select bin, count(*) as n from u group by all), t as (select max(bin) + 1 as bins from n) select cast(bins as int) as bins, {rnd('sum(power(n - 720e0 / bins, 2) / (720e0 / bins)) + (bins - count(*)) * 720e0 / bins')} as statistic from n, t group by bins")
 def gof_chi2(spark, d):
-    n = residuals(spark, d).groupBy(F.least(F.floor(F.col("u") * 10.0).cast("int"), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    t = n.agg(F.max("bin").alias("top"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum("n").alias("total"))
-    bins = F.col("top") + 1
-    return t.select(bins.cast("int").alias("bins"), r6(F.col("sq") * bins / F.col("total") - F.col("total")).alias("statistic"))
+    return rounded(L.chi_square(residuals(spark, d), []), "statistic")
+
+
+GOF_SQL = ORACLE_SQL["gof_chi2"].replace("select cast(bins as int) as bins, ", "select ")
+
+
+@query(GOF_SQL)
+def gof_statistic(spark, d):
+    """The same statistic as the simulation test has it, inside a task."""
+    return rounded(W.gof_pvalue(click(spark, d), GRID, ["field_id"], K.Exponential(), EXP, 1).select("statistic"), "statistic")
 
 
 @query()
@@ -748,11 +749,14 @@ def likelihood_ratio_test(spark, d):
 q as (select miss.i0, miss.i1, l.z as zl, r.z as zr from miss join c l on l.i0 = miss.i0 and l.i1 = miss.i1 - 1 join c r on r.i0 = miss.i0 and r.i1 = miss.i1 + 1)
 select i0, i1, {rnd('exp(-0.5e0) * (zl + zr) / (1e0 + exp(-1e0))')} as mean from q""")
 def kriging_two_neighbours(spark, d):
-    """A missing hour from the hours around it: the 2 x 2 system in closed form."""
+    """A missing hour from the hours around it."""
     field = click(spark, d).select("i0", "i1", "z")
-    miss = G.missing_cells(field, GRID)
-    left, right = (field.select("i0", (F.col("i1") + s).alias("i1"), F.col("z").alias(n)) for s, n in ((1, "zl"), (-1, "zr")))
-    return miss.join(left, ["i0", "i1"]).join(right, ["i0", "i1"]).select("i0", "i1", r6(F.lit(math.exp(-0.5)) * (F.col("zl") + F.col("zr")) / F.lit(1.0 + math.exp(-1.0))).alias("mean"))
+    miss = G.missing_cells(field, GRID).withColumn("pt_id", (F.col("i0") * 24 + F.col("i1")).cast("long"))
+    around = [miss.join(field.select("i0", (F.col("i1") - s).alias("i1"), F.col("z").alias("y")), ["i0", "i1"]).select("pt_id", F.lit(float(s)).alias("x0"), "y") for s in (-1, 1)]
+    points = around[0].union(around[1]).withColumnRenamed("pt_id", "cell")
+    whole = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("cell")
+    out = W.krige(points.join(whole, "cell"), whole.select("cell", F.col("cell").alias("pt_id"), F.lit(0.0).alias("x0")), ["cell"], 1, K.Exponential(), EXP)
+    return out.select(F.floor(F.col("pt_id") / 24).cast("int").alias("i0"), F.pmod("pt_id", F.lit(24)).cast("int").alias("i1"), r6("mean").alias("mean"))
 
 
 @query()
@@ -797,6 +801,9 @@ def embedding_spectrum_min(spark, d):
     return out.agg(r6(F.min("re")).alias("least"))
 
 
+VECTOR, LINE = G.GridSpec((64,)), K.Exponential().bound("rho", 0.05, 50)
+
+
 @query()
 def fit_events(spark, d):
     return W.fit(src.event_fields(spark, d), GRID, ["field_id"], K.Exponential().bound("rho", 0.05, 50))
@@ -809,4 +816,219 @@ def fit_events_least_squares(spark, d):
 
 @query()
 def fit_all_embeddings(spark, d):
-    return W.fit(src.vector_fields(spark, d), G.GridSpec((64,)), ["vec_id"], K.Exponential().bound("rho", 0.05, 50))
+    return W.fit_vectors(src.vectors(spark, d), VECTOR, ["vec_id"], LINE)
+
+
+# ------------------------------------------------------------------ statements about results that SQL cannot compute
+
+TYPES = "(select distinct event_type as field_id from events)"
+
+
+@query(f"select field_id, true as converged, true as least from {TYPES}")
+def fit_events_least(spark, d):
+    """Each fit has a value no larger than at parameters one percent around it, as the scan has them."""
+    field, fits = src.event_fields(spark, d), fit_events(spark, d)
+    near = [(0.0, 0.0), (0.01, 0.0), (-0.01, 0.0), (0.0, 0.01), (0.0, -0.01)]
+    rows = fits.select("field_id", "converged", "theta", F.posexplode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in near))).alias("i", "by"))
+    # at its bound a parameter does not go on
+    rho = F.least(F.greatest(F.col("theta")["rho"] * (1 + F.col("by.a")), F.lit(0.050001)), F.lit(49.999999))
+    theta = rows.select(F.struct("field_id", "i").alias("theta_id"), rho.alias("rho"), (F.col("theta")["sigma"] * (1 + F.col("by.b"))).alias("sigma"))
+    ll = W.scan(field, GRID, ["field_id"], K.Exponential(), theta.withColumn("theta_id", F.concat_ws("|", "theta_id.field_id", "theta_id.i")))
+    own = ll.where(F.substring_index("theta_id", "|", 1) == F.col("field_id")).groupBy("field_id").agg(F.max(F.when(F.col("theta_id").endswith("|0"), F.col("ll"))).alias("at"), F.min("ll").alias("low"))
+    return own.join(fits.select("field_id", "converged"), "field_id").select("field_id", "converged", (F.col("at") <= F.col("low") + 1e-9).alias("least"))
+
+
+METHODS = ["nelder-mead", "evolution", "annealing", "direct"]
+
+
+@query(f"select m as method, field_id, true as agrees from {TYPES}, (values {', '.join(f'({m!r})' for m in METHODS)}) t(m)")
+def fit_methods_agree(spark, d):
+    """Every optimiser comes to the value that the gradient method finds."""
+    field, kernel = src.event_fields(spark, d), LINE.bound("sigma", 0.01, 20)
+    first = W.fit(field, GRID, ["field_id"], kernel).select("field_id", F.col("ll").alias("best"))
+    out = None
+    for m in METHODS:
+        one = W.fit(field, GRID, ["field_id"], kernel, method=m).select(F.lit(m).alias("method"), "field_id", "ll")
+        out = one if out is None else out.union(one)
+    return out.join(first, "field_id").select("method", "field_id", (F.abs(F.col("ll") - F.col("best")) < 1e-5).alias("agrees"))
+
+
+@query("select vec_id, true as improved from embeddings")
+def fit_embeddings_improve(spark, d):
+    """No fit is worse than its start, whose values come from relational sums."""
+    e = S.expected_periodogram(S.full_kernel(G.lags(spark, VECTOR), VECTOR), VECTOR, [], K.Exponential(), {"rho": 1.0, "sigma": 1.0})
+    per = S.periodogram(src.vector_fields(spark, d), VECTOR, ["vec_id"])
+    start = per.join(F.broadcast(e), "k0").groupBy("vec_id").agg(F.avg(L.whittle_term()).alias("start"))
+    return fit_all_embeddings(spark, d).join(start, "vec_id").select("vec_id", (F.col("converged") & (F.col("ll") <= F.col("start") + 1e-9)).alias("improved"))
+
+
+@query(f"select field_id, true as positive, true as symmetric from {TYPES}")
+def fit_covariances(spark, d):
+    """Estimator covariances from the fits themselves: positive and symmetric."""
+    out = W.fit(src.event_fields(spark, d), GRID, ["field_id"], LINE, covariance=True)
+    c = F.col("covariance")
+    return out.select("field_id", ((c["rho|rho"] > 0) & (c["rho|rho"] * c["sigma|sigma"] > c["rho|sigma"] * c["rho|sigma"])).alias("positive"), (F.abs(c["rho|sigma"] - c["sigma|rho"]) <= 1e-6 * F.sqrt(c["rho|rho"] * c["sigma|sigma"])).alias("symmetric"))
+
+
+PAIR_MODEL = K.BivariateUniform(K.Exponential().bound("rho", 0.05, 50)).bound("f", 0.05, 20)
+
+
+@query("select true as converged, true as stationary, true as improved")
+def fit_pair(spark, d):
+    """The bivariate fit of clicks and views: converged, without a slope, no worse than its start."""
+    pair = src.event_pair(spark, d)
+    start = L.bivariate_whittle(S.cross_periodogram(pair, GRID, []), S.expected_bivariate(S.spatial_kernel(pair, GRID, [], variates=True), GRID, [], PAIR_MODEL, {"r": 0.0, "f": 1.0, "rho": 1.0, "sigma": 1.0}), GRID, [], []).withColumnRenamed("ll", "start")
+    out = W.fit_several(pair, GRID, [], PAIR_MODEL).crossJoin(F.broadcast(start))  # a row each
+    return out.select("converged", (F.col("score") < 1e-4).alias("stationary"), (F.col("ll") <= F.col("start") + 1e-9).alias("improved"))
+
+
+SIDE = G.GridSpec((16, 16))
+
+
+@query("select i, j, true as close from (values ('rho'), ('sigma')) a(i), (values ('rho'), ('sigma')) b(j)")
+def jmatrix_sample_close(spark, d):
+    """The sampled score covariance against the exact one, within a quarter."""
+    exact = W.jmatrix(spark, SIDE, np.ones(SIDE.shape), K.Exponential(), EXP, ["rho", "sigma"]).withColumnRenamed("value", "exact")
+    return sampled_jmatrix(spark, d).join(exact, ["i", "j"]).select("i", "j", (F.abs(F.col("value") / F.col("exact") - 1) < 0.25).alias("close"))
+
+
+@query("select i, j, true as close from (values ('f'), ('r')) a(i), (values ('f'), ('r')) b(j)")
+def jmatrix_sample_pair_close(spark, d):
+    """On a full grid and nearly without correlation in space, so that frequencies are independent, the sampled score covariance of the
+    correlation and scale is near 2 / N times their information (frequencies come in pairs)."""
+    t = {"r": 0.3, "f": 1.5}
+    r, f, n = t["r"], t["f"], SIDE.n_points
+    want = {("r", "r"): 2 * (1 + r * r) / (1 - r * r) ** 2, ("r", "f"): -2 * r / (f * (1 - r * r)), ("f", "r"): -2 * r / (f * (1 - r * r)), ("f", "f"): 2 * (2 - r * r) / (f * f * (1 - r * r))}
+    known = spark.createDataFrame([(a, b, 2 * v / n, 2 * math.sqrt(want[a, a] * want[b, b]) / n) for (a, b), v in want.items()], "i string, j string, want double, scale double")
+    got = W.jmatrix_sample_bivariate(spark, SIDE, K.BivariateUniform(K.Exponential()), t | {"rho": 0.3, "sigma": 1.0}, ["r", "f"], 1000, 3)
+    return got.join(known, ["i", "j"]).select("i", "j", (F.abs(F.col("value") - F.col("want")) < 0.25 * F.col("scale")).alias("close"))
+
+
+@query("select cast(46080 as bigint) as n, true as unit_variance, true as correlated")
+def simulated_moments(spark, d):
+    """64 simulated fields: variance 1 and the correlation of neighbours."""
+    z = W.simulate(spark, GRID, K.Exponential(), EXP, 64, 11)
+    beside = z.select("sim_id", "i0", (F.col("i1") - 1).alias("i1"), F.col("z").alias("y"))
+    m = z.join(beside, ["sim_id", "i0", "i1"], "left").agg(F.count("z").alias("n"), F.avg(F.col("z") * F.col("z")).alias("v"), F.avg(F.col("z") * F.col("y")).alias("c"))
+    return m.select("n", (F.abs(F.col("v") - 1) < 0.06).alias("unit_variance"), (F.abs(F.col("c") - math.exp(-0.5)) < 0.06).alias("correlated"))
+
+
+@query("select cast(v as int) as var, cast(46080 as bigint) as n, true as variance from range(2) t(v)")
+def simulated_pair_moments(spark, d):
+    z = W.simulate_bivariate(spark, GRID, K.BivariateUniform(K.Exponential()), {"r": 0.4, "f": 1.5, "rho": 2.0, "sigma": 1.0}, 64, 5)
+    m = z.groupBy("var").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("z") * F.col("z")).alias("v"))
+    return m.select("var", "n", (F.abs(F.col("v") / F.when(F.col("var") == 0, 1.0).otherwise(2.25) - 1) < 0.08).alias("variance"))
+
+
+@query("select cast(v as int) as var, true as unit_mean, cast(720 as bigint) as cells from range(2) t(v)")
+def simulated_pair_spectra(spark, d):
+    """Periodic fields by their transforms: over many fields, squared transforms at a frequency have the torus's spectrum as mean."""
+    t = {"r": 0.4, "f": 1.5, "rho": 2.0, "sigma": 1.0}
+    out = W.simulate_bivariate(spark, GRID, K.BivariateUniform(K.Exponential()), t, 64, 6, periodic=True, spectral=True)
+    lam = np.maximum(np.fft.fftn(K.Exponential().cov(arrays.torus_lags(GRID.shape), EXP)).real, 0)
+    spectrum = spark.createDataFrame([(int(a), int(b), float(lam[a, b])) for a, b in np.ndindex(*GRID.shape)], "k0 int, k1 int, lam double")
+    p = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("lam") * F.when(F.col("var") == 0, 1.0).otherwise(2.25))
+    return out.join(spectrum, ["k0", "k1"]).groupBy("var").agg((F.abs(F.avg(p) - 1) < 0.03).alias("unit_mean"), F.countDistinct("k0", "k1").alias("cells"))
+
+
+@query("select true as variance, cast(46080 as bigint) as n")
+def simulated_separable_moments(spark, d):
+    z = W.simulate_separable(spark, GRID, K.Separable((K.Exponential(), K.Exponential())), {"m0_rho": 3.0, "m0_sigma": 1.0, "m1_rho": 2.0, "m1_sigma": 1.0}, 64, 5)
+    return z.agg((F.abs(F.avg(F.col("z") * F.col("z")) - 1) < 0.1).alias("variance"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select cast(64 as bigint) as n, true as expected")
+def whittle_simulated_expected(spark, d):
+    """Mean value of simulated fields at the truth: one more than the mean log of the expected periodogram."""
+    grid, t = G.GridSpec((64, 64)), {"rho": 5.0, "sigma": 1.0}
+    e = S.expected_periodogram(S.full_kernel(G.lags(spark, grid), grid), grid, [], K.Exponential(), t).agg(F.avg(F.log("e")).alias("log_e"))
+    return W.simulated_values(spark, grid, K.Exponential(), t, t, 64, 3).crossJoin(F.broadcast(e)).agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("ll") - F.max("log_e") - 1) < 0.01).alias("expected"))
+
+
+@query("select true as p_value, true as q95")
+def generalized_chi2_known(spark, d):
+    """One weight: a chi-square of one degree."""
+    out = W.generalized_chi2(spark, [1.0], 3.841459, 20_000)
+    return out.select((F.abs(F.col("p_value") - 0.05) < 0.01).alias("p_value"), (F.abs(F.col("q95") - 3.841459) < 0.3).alias("q95"))
+
+
+@query(f"select field_id, true as gains, true as share, true as verdict from {TYPES}")
+def likelihood_ratio_sound(spark, d):
+    """The larger model is never worse, and the verdict is the p-value's."""
+    out = likelihood_ratio_test(spark, d)
+    return out.select("field_id", (F.col("lkh_ratio") > -1e-6).alias("gains"), F.col("p_value").between(0, 1).alias("share"), (F.col("test_result") == (F.col("p_value") > 0.05)).alias("verdict"))
+
+
+@query(ORACLE_SQL["embedding_spectrum_min"])
+def embedding_least(spark, d):
+    """The same least eigenvalue as the sampler's own check has it."""
+
+    def run(batches):
+        for _ in batches:
+            yield pd.DataFrame({"least": [arrays.embedding(K.Exponential(), EXP, COARSE.shape, approximate=True)[1]]})
+
+    return rounded(spark.range(1, numPartitions=1).mapInPandas(run, "least double"), "least")
+
+
+@query(f"{GRAD_SQL}, {PER} select {rnd(f'sum({LOW} * (e - p) * de_rho / (e * e)) / 720e0')} as s_rho, {rnd(f'sum({LOW} * (e - p) * de_sigma / (e * e)) / 720e0')} as s_sigma from p join e using (k0, k1)")
+def whittle_masked_score(spark, d):
+    return rounded(L.score(click_per(spark, d), click_gradient(spark, d), GRID, [], [], ["rho", "sigma"], low_pass()).select("s_rho", "s_sigma"), "s_rho", "s_sigma")
+
+
+@query("select name, true as matches from (values ('r'), ('f'), ('rho'), ('sigma')) t(name)")
+def bivariate_score(spark, d):
+    """Slopes of the bivariate value against differences of values."""
+    names, h = ["r", "f", "rho", "sigma"], 1e-5
+    pair, t = src.event_pair(spark, d), {"r": 0.3, "f": 1.5, "rho": 2.0, "sigma": 1.0}
+    kernel, cross = S.spatial_kernel(pair, GRID, [], variates=True), S.cross_periodogram(pair, GRID, [])
+    model = K.BivariateUniform(K.Exponential())
+    rows = [(f"{n}{s}", *(v + (h if k == n else 0) * (1 if s == "+" else -1) for k, v in t.items())) for n in names for s in "+-"]
+    ll = L.bivariate_whittle(cross, S.expected_bivariate(kernel, GRID, [], model, spark.createDataFrame(rows, "theta_id string, r double, f double, rho double, sigma double")), GRID, [], ["theta_id"])
+    slope = L.bivariate_whittle(cross, S.expected_bivariate(kernel, GRID, [], model, t, names), GRID, [], [], names)
+    by = ll.groupBy(F.expr("substring(theta_id, 1, length(theta_id) - 1)").alias("name")).agg(((F.max(F.when(F.col("theta_id").endswith("+"), F.col("ll"))) - F.max(F.when(F.col("theta_id").endswith("-"), F.col("ll")))) / (2 * h)).alias("change"))
+    long = slope.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"s_{n}").alias("s")) for n in names))).alias("x")).select("x.*")
+    return by.join(long, "name").select("name", (F.abs(F.col("change") - F.col("s")) < 1e-5 * (1 + F.abs("s"))).alias("matches"))
+
+
+SLOPES = {
+    "anisotropic": K.Anisotropic(K.Exponential()), "anisotropic_sum": K.Anisotropic(K.Sum((K.Exponential(), K.Matern32()))), "anisotropic_nugget": K.Anisotropic(K.Nugget(K.SquaredExponential())),
+    "nested": K.Nugget(K.Sum((K.Matern52(), K.RationalQuadratic()))), "separable": K.Separable((K.Matern32(), K.SquaredExponential())),
+}
+SLOPE_ROWS = [(n, p.name) for n, k in SLOPES.items() for p in k.params]
+
+
+@query("select kernel, parameter, true as matches from (values " + ", ".join(str(x) for x in SLOPE_ROWS) + ") t(kernel, parameter)")
+def kernel_slopes(spark, d):
+    """Every slope of composed kernels against differences, on lags, as columns."""
+    lags, h, out = on_lags(spark), 1e-6, None
+    for name, kernel in SLOPES.items():
+        t = {p.name: 0.7 + 0.1 * i if p.name.split("_")[-1] not in ("nugget", "phi") else 0.2 for i, p in enumerate(kernel.params)}
+        col = lambda **more: {k: F.lit(float(v)) for k, v in (t | more).items()}  # noqa: B023, E731
+        at = [F.col("h0"), F.col("h1")]
+        checks = [F.max(F.abs(kernel.grad(at, col(), p.name) - (kernel.cov(at, col(**{p.name: t[p.name] + h})) - kernel.cov(at, col(**{p.name: t[p.name] - h}))) / (2 * h))).alias(p.name) for p in kernel.params]
+        one = lags.agg(*checks).select(F.explode(F.array(*(F.struct(F.lit(name).alias("kernel"), F.lit(p.name).alias("parameter"), (F.col(p.name) < 1e-6).alias("matches")) for p in kernel.params))).alias("x")).select("x.*")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _parameters() -> list[tuple]:
+    k = (K.RationalQuadratic().bound("rho", 0.5, 8).tie("alpha", "rho") + K.Nugget(K.Exponential()).fix("nugget", 0.25))
+    whole = k.theta([2.0, 1.5, 3.0, 4.0])
+    return [(p.name, float(p.default), whole[p.name], p.free, float(p.low), -1.0 if math.isinf(p.high) else float(p.high), -1.0 if p.fixed is None else p.fixed, p.link or "") for p in k.params]
+
+
+@query("""select * from (values ('m0_rho', 1e0, 2e0, true, 5e-1, 8e0, -1e0, ''), ('m0_alpha', 1e0, 2e0, false, 0e0, -1e0, -1e0, 'm0_rho'), ('m0_sigma', 1e0, 1.5e0, true, 0e0, -1e0, -1e0, ''),
+('m1_nugget', 0e0, 2.5e-1, false, 0e0, 1e0, 2.5e-1, ''), ('m1_rho', 1e0, 3e0, true, 0e0, -1e0, -1e0, ''), ('m1_sigma', 1e0, 4e0, true, 0e0, -1e0, -1e0, '')) t(name, start, value, free, low, high, fixed, link)""")
+def kernel_parameters(spark, d):
+    """Declared, bounded, tied and fixed parameters of a sum, and the mapping that a vector of the free ones gives; -1 where there is no
+    upper bound or fixed value."""
+    return spark.createDataFrame(_parameters(), "name string, start double, value double, free boolean, low double, high double, fixed double, link string")
+
+
+@query("select cast(720 as bigint) as n_points, cast(30 as double) as extent0, cast(12 as double) as extent1, cast(24 as bigint) as n_line, cast(720 as bigint) as full_cells")
+def grid_facts(spark, d):
+    """Numbers of a grid, of one of its axes taken apart, and its full mask."""
+    grid = G.GridSpec((30, 24), (1.0, 0.5))
+    line = grid.separate([1])
+    full = G.check_mask(G.cells(spark, grid).withColumn("g", G.full_mask()), grid).agg(F.sum("g").cast("long").alias("full_cells"))
+    return full.select(F.lit(grid.n_points).cast("long").alias("n_points"), F.lit(grid.extent[0]).alias("extent0"), F.lit(grid.extent[1]).alias("extent1"), F.lit(line.n_points).cast("long").alias("n_line"), "full_cells")
