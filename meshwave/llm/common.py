@@ -47,6 +47,11 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keep_track(path: str) -> None:
+    """Let release() delete the folder too."""
+    _STAGED.append(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -136,13 +141,15 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         start = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray, letter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word in the bytes, and the first word of each text (n + 1 numbers). letter: which of 256 bytes are in words."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, letter: np.ndarray | None = None, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word in the bytes, and the first word of each text (n + 1 numbers). letter: which of 256 bytes are in words;
+    inside: which places are."""
     n = len(data)
-    if letter is None:
-        letter = np.ones(256, bool)
-        letter[[9, 10, 11, 12, 13, 32]] = False
-    inside = letter[data]
+    if inside is None:
+        if letter is None:
+            letter = np.ones(256, bool)
+            letter[[9, 10, 11, 12, 13, 32]] = False
+        inside = letter[data]
     first = np.zeros(n + 1, bool)  # a text begins here
     first[offsets] = True
     prev = np.empty(n, bool)
