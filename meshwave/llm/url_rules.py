@@ -1,8 +1,8 @@
 """URL filters: stated host and path rules, and association rules between URL tokens and a block label, mined by FP-growth.
 
-Frequent token sets of labelled URLs give rules `tokens -> block`; support, confidence and a gain over every part of the rule prune
-them. Rules are matched through an inverted index: each hangs on its rarest token, and the URLs that have that token are tested for
-the rest.
+Frequent token sets of blocked URLs are the candidates; how many labelled URLs have them is counted through an inverted index: a set hangs
+on its rarest token, and the URLs that have that token are tested for the rest. Support, confidence and a gain over every part of a
+rule prune them. Rules are matched by the same index.
 """
 
 from __future__ import annotations
@@ -11,14 +11,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_SUPPORT = 0.005
-MIN_CONFIDENCE = 0.6
+from meshwave.llm.common import stage_table
+
+#: A token set counts if so many blocked URLs have it, and this share of them.
 MIN_COUNT = 20
+MIN_SHARE = 0.01
+MIN_CONFIDENCE = 0.6
 GAIN = 0.05
 #: Rules that may be broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 20_000
-LABEL = "label=block"
-
 #: (host, path, verdict)
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -53,82 +54,121 @@ def stated_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] =
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct tokens: scheme, host, its parents, its first label, first path part, shape of the last, extension, query names, fragment."""
+    """Distinct tokens: scheme, every suffix of the host (at whole labels) and every label but the last, path parts (digits as 9) and their
+    words, extension, query names, fragment. None for nulls and urls without host."""
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    plain = F.regexp_replace(path, r"[0-9]+", "9")
+    parts = F.filter(F.split(plain, "/"), lambda x: x != "")
+    words = F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    extension = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     tag = lambda name, c: F.concat(F.lit(name + "="), c)
+    each = lambda name, xs: F.transform(xs, lambda x: tag(name, x))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: tag("host", F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     return F.when(
         host != "",
         F.array_distinct(
             F.concat(
-                F.array(tag("scheme", F.lower(F.substring_index(url, "://", 1))), tag("host", host), tag("tld", F.element_at(labels, -1)), tag("first", F.element_at(labels, 1)), tag("parent", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")), tag("dir", F.coalesce(F.get(parts, F.lit(0)), F.lit(""))), tag("shape", F.regexp_replace(F.regexp_replace(last, r"[0-9]+", "9"), r"[\p{L}]+", "a")), tag("fragment", F.instr(url, "#").cast("boolean").cast("string"))),
+                F.array(tag("scheme", F.lower(F.substring_index(url, "://", 1))), tag("fragment", F.instr(url, "#").cast("boolean").cast("string"))),
+                suffixes, each("label", F.slice(labels, F.lit(1), F.size(labels) - 1)), each("part", parts), F.filter(each("word", words), lambda x: ~F.array_contains(each("part", parts), F.concat(F.lit("part="), F.substring(x, 6, 1 << 20)))),
+                F.when(extension != "", F.array(tag("extension", extension))).otherwise(F.array().cast("array<string>")),
                 F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: tag("query", F.substring_index(x, "=", 1))),
             )
         ),
     ).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, gain: float = GAIN) -> DataFrame:
-    """labelled (url, blocked) to rules: items (array of tokens), confidence, support (number of blocked URLs), anchor (its rarest token).
+def _indexed(sets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """sets (items, ...) with anchor: of its tokens the one of the fewest URLs (tokens: token, n); ties: the first by name."""
+    each = sets.select("items", F.explode("items").alias("token")).join(tokens, "token")
+    return sets.join(each.groupBy("items").agg(F.min_by("token", F.struct("n", "token")).alias("anchor")), "items")
+
+
+def _fitting(urls: DataFrame, sets: DataFrame) -> DataFrame:
+    """A row for each of urls (tokens, ...) and set (items, anchor, ...) that it has all tokens of."""
+    if sets.count() <= BROADCAST_RULES:
+        sets = F.broadcast(sets)
+    return urls.withColumn("anchor", F.explode("tokens")).join(sets, "anchor").where(F.size(F.array_except("items", "tokens")) == 0).drop("anchor")
+
 
-    All labelled rows count; null labels and urls without host do not. A rule stays if no rule of a part of its tokens comes within `gain`
-    of its confidence, and its confidence is above the share of blocked URLs by `gain`.
+def mine_rules(labelled: DataFrame, min_share: float = MIN_SHARE, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, gain: float = GAIN) -> DataFrame:
+    """labelled (url, blocked) to rules: items (array of tokens, sorted), confidence, support (number of blocked URLs), anchor (its rarest token).
+
+    All labelled rows count, repeats too; null labels and urls without host do not. Candidates are the token sets that min_count blocked
+    URLs and min_share of them have. A rule stays if its confidence is at least min_confidence, above the share of blocked URLs by `gain`,
+    and no rule of a part of its tokens comes within `gain` of it. No rules without blocked URLs, or of an empty table.
     """
-    baskets = labelled.where(F.col("blocked").isNotNull()).select(url_tokens(F.col("url")).alias("tokens"), "blocked").where(F.size("tokens") > 0)
+    spark = labelled.sparkSession
+    baskets = stage_table(labelled.where(F.col("blocked").isNotNull()).select(url_tokens(F.col("url")).alias("tokens"), "blocked").where(F.size("tokens") > 0), "baskets")
     total, blocked = baskets.agg(F.count(F.lit(1)), F.sum(F.col("blocked").cast("long"))).first()
-    empty = labelled.sparkSession.createDataFrame([], "items array<string>, confidence double, support long, anchor string")
-    if not total or not blocked:
-        return empty
-    items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens"))
-    support = max(min_support, min_count / total)
-    if support > 1:
+    empty = spark.createDataFrame([], "items array<string>, confidence double, support long, anchor string")
+    if not blocked or min_count > blocked:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets.select(items.alias("items")))
-    sets = model.freqItemsets
-    with_label = sets.where(F.array_contains("items", LABEL) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", LABEL)).alias("items"), F.col("freq").alias("support"))
-    without = sets.where(~F.array_contains("items", LABEL)).select(F.array_sort("items").alias("items"), "freq")
-    rules = with_label.join(without, "items").withColumn("confidence", F.col("support") / F.col("freq"))
-    rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= blocked / total + gain))
-    parts = rules.select(F.col("items").alias("_part"), F.col("confidence").alias("_c"), F.element_at("items", 1).alias("_first"))
-    # a part is looked for among the rules that begin with one of the rule's tokens
+    model = FPGrowth(itemsCol="items", minSupport=max(min_share, min_count / blocked), minConfidence=1.0).fit(baskets.where("blocked").select(F.col("tokens").alias("items")))
+    sets = stage_table(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support")), "sets")
+    tokens = baskets.select(F.explode("tokens").alias("token")).join(F.broadcast(sets.where("size(items) = 1").select(F.element_at("items", 1).alias("token"))), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    sets = stage_table(_indexed(sets, tokens), "candidates")
+    # few sets have much over the blocked share among their token's URLs: the rest of the pass is counting
+    counted = _fitting(baskets.where("not blocked").select("tokens"), sets).groupBy("items").agg(F.count(F.lit(1)).alias("_other"))
+    rules = sets.join(counted, "items", "left").withColumn("confidence", F.col("support") / (F.col("support") + F.coalesce("_other", F.lit(0))))
+    rules = stage_table(rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= blocked / total + gain)).drop("_other"), "rules")
+    parts = rules.select(F.col("items").alias("_part"), F.col("confidence").alias("_c"), F.col("anchor").alias("_first"))
+    # a part's anchor is among the rule's tokens
     smaller = rules.select("items", "confidence", F.explode("items").alias("_first")).join(parts, "_first")
     smaller = smaller.where((F.size("_part") < F.size("items")) & (F.size(F.array_except("_part", "items")) == 0) & (F.col("_c") + gain > F.col("confidence"))).select("items").distinct()
-    kept = rules.join(smaller, "items", "left_anti")
-    single = without.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), F.col("freq").alias("_n"))
-    rarest = kept.select("items", "confidence", "support", F.explode("items").alias("token")).join(single, "token").groupBy("items", "confidence", "support").agg(F.min_by("token", F.struct("_n", "token")).alias("anchor"))
-    return rarest.select("items", "confidence", "support", "anchor")
+    return stage_table(rules.join(smaller, "items", "left_anti").select("items", "confidence", "support", "anchor"), "mined")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """key of urls (key, tokens) that one rule at least fits."""
-    if rules.count() <= BROADCAST_RULES:
-        rules = F.broadcast(rules)
-    by_token = urls.select("key", "tokens", F.explode("tokens").alias("anchor"))
-    return by_token.join(rules.select("items", "anchor"), "anchor").where(F.size(F.array_except("items", "tokens")) == 0).select("key").distinct()
+    """key of urls (key, tokens) that one rule at least fits, and the tokens of the surest one (then the shortest, then the first by name)."""
+    hits = _fitting(urls.select("key", "tokens"), rules.select("items", "anchor", "confidence"))
+    best = F.max_by("items", F.struct("confidence", -F.size("items"), F.array_join("items", " ")))
+    return hits.groupBy("key").agg(F.array_join(best, " & ").alias("mined"))
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict for each row of pages (page_id, url), repeats and nulls too.
+    """page_id, host, path, rule, verdict, mined for each row of pages (page_id, url), repeats and nulls too.
 
-    A stated rule decides; else `block` where a mined rule fits, and `allow`. Other columns are not read. Mined rules are matched once
-    for each distinct url.
+    A stated rule decides; else `block` where a mined rule fits, and `allow`. mined: the tokens of the surest mined rule that fits, whoever
+    decides. Ties of stated rules: the longest, then the first by name. Urls of any length are taken whole; an empty table gives none. Other
+    columns are not read. Mined rules are matched once for each distinct url.
     """
     own = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = stated_rule(F.col("host"), F.col("path"), rules)
-    marked = own.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("_verdict", verdict)
+    marked = own.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("rule", rule).withColumn("_verdict", verdict)
     mined = mine_rules(labelled)
-    hit = match_rules(own.where("url is not null").select(F.col("url").alias("key")).distinct().withColumn("tokens", url_tokens(F.col("key"))), mined).withColumn("_hit", F.lit(True))
+    hit = match_rules(own.where("url is not null").select(F.col("url").alias("key")).distinct().withColumn("tokens", url_tokens(F.col("key"))), mined)
     joined = marked.join(hit.withColumnRenamed("key", "url"), "url", "left")
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("_hit"), "block").otherwise("allow")).alias("verdict"))
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("mined").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined")
+
+
+def labels_of(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """url, blocked of the pages (page_id, url) that a stated rule decides, as it does, and of the others whose document has labels: a page
+    shows the document of the number that ends its path, and one of low quality or toxic is blocked."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    _, verdict = stated_rule(F.col("_host"), F.col("_path"), rules)
+    number = F.regexp_extract(F.col("_path"), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    marked = pages.select("url", host.alias("_host"), path.alias("_path")).withColumn("_verdict", verdict).withColumn("_doc", F.when(number != "", number.cast("long")))
+    bad = (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")
+    judged = labels.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(bad).alias("_b"))
+    stated = marked.where("_verdict is not null").select("url", (F.col("_verdict") == "block").alias("blocked"))
+    return stated.union(marked.where("_verdict is null").join(judged, "_doc").select("url", (F.col("_b") == 1).alias("blocked")))
 
 
 def op8_url_rules(spark, sf_dir: str) -> DataFrame:
-    """Labels of low quality or toxic documents block the page of the same number."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")).alias("_b"))
-    labelled = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", (F.col("_b") == 1).alias("blocked"))
-    return judge_urls(pages, labelled)
+    return judge_urls(pages, labels_of(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+#: What SQL can say of the query: all but the mined rules.
+HOST_PATH_RULE_SQL = r"""
+with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
+h as (select page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
+r(rule_host, rule_path) as (values ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/'))
+select page_id, host, path,
+       (select arg_max(rule_host || rule_path, length(rule_host || rule_path)) from r
+        where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)) as rule
+from h
+"""

@@ -1,4 +1,8 @@
 import re
+from itertools import combinations
+
+import numpy as np
+import pytest
 
 from meshwave.llm import url_rules as U
 
@@ -22,21 +26,50 @@ def labelled(spark, n=400):
 
 
 def test_rules_against_brute_force(spark):
-    """Every mined rule has the confidence and support that counting gives; single tokens above the bounds are found."""
+    """The mined rules are all token sets, of any size, that counting lets pass, with their confidence and support."""
     rows = [(f"http://s{i % 7}.example.org/{'ad' if i % 5 < 2 else 'news'}/{'x' if i % 3 else 'y'}?id={i}", (i % 5 < 2) and (i % 3 > 0) or i % 11 == 0) for i in range(700)]
     df = spark.createDataFrame(rows, "url string, blocked boolean")
-    found = U.mine_rules(df).collect()
-    tokens = [set(r[0]) for r in df.select(U.url_tokens(df["url"])).collect()]
+    found = {tuple(r["items"]): r for r in U.mine_rules(df, min_share=0.05).collect()}
+    tokens = [frozenset(r[0]) for r in df.select(U.url_tokens(df["url"])).collect()]
     label = [b for _, b in rows]
-    assert any(r["items"] == ["dir=ad"] for r in found)
-    for r in found:
-        hit = [b for t, b in zip(tokens, label, strict=True) if set(r["items"]) <= t]
-        assert r["support"] == sum(hit) and abs(r["confidence"] - sum(hit) / len(hit)) < 1e-12 and r["confidence"] >= U.MIN_CONFIDENCE
-        assert r["anchor"] in r["items"]
+    blocked = [t for t, b in zip(tokens, label, strict=True) if b]
+    counts = {}
+    for t in blocked:
+        for size in range(1, len(t) + 1):
+            for c in combinations(sorted(t), size):
+                counts[c] = counts.get(c, 0) + 1
+    passing = {}
+    for c, n in counts.items():
+        if n >= max(U.MIN_COUNT, 0.05 * len(blocked)):
+            share = n / sum(set(c) <= t for t in tokens)
+            if share >= max(U.MIN_CONFIDENCE, len(blocked) / len(rows) + U.GAIN):
+                passing[c] = (n, share)
+    want = {c: v for c, v in passing.items() if not any(set(p) < set(c) and w[1] + U.GAIN > v[1] for p, w in passing.items())}
+    assert set(found) == set(want) and want
+    for c, r in found.items():
+        assert r["support"] == want[c][0] and abs(r["confidence"] - want[c][1]) < 1e-12 and r["anchor"] in c
     # matching by the index equals matching by every rule
     urls = df.select(df["url"].alias("key"), U.url_tokens(df["url"]).alias("tokens"))
-    got = {r["key"] for r in U.match_rules(urls, U.mine_rules(df)).collect()}
-    assert got == {u for (u, _), t in zip(rows, tokens, strict=True) if any(set(r["items"]) <= t for r in found)}
+    got = {r["key"]: r["mined"] for r in U.match_rules(urls, U.mine_rules(df, min_share=0.05)).collect()}
+    assert got == {u: " & ".join(max((c for c in want if set(c) <= t), key=lambda c: (want[c][1], -len(c), " ".join(c)))) for (u, _), t in zip(rows, tokens, strict=True) if any(set(c) <= t for c in want)}
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_rules_are_mined_and_used(spark, scale):
+    """Rules come out of the real labels, fit pages, and agree with what is stated for most of them."""
+    rows = U.op8_url_rules(spark, f"/root/testdata/{scale}").collect()
+    fit = [r for r in rows if r["mined"]]
+    assert fit and np.mean([r["verdict"] == "block" for r in fit]) >= U.MIN_CONFIDENCE
+    assert all(r["verdict"] == "block" for r in fit if r["rule"] is None)
+
+
+def test_host_path_rule_in_sql(spark, small):
+    import oracle
+
+    from meshwave.llm import queries
+
+    df = U.op8_url_rules(spark, small).select("page_id", "host", "path", "rule")
+    assert queries and not oracle.difference(df, oracle.connect(small), U.HOST_PATH_RULE_SQL)
 
 
 def test_edge_cases(spark):
