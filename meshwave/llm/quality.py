@@ -2,8 +2,9 @@
 
 Evidence of a text: log-odds of its words and of their shapes, learned by counting from labelled texts, and a few ratios, weighed by a
 logistic regression. Sites: labelled documents are counted by host and by path within a host; a path's rate is shrunk toward its
-host's and a host's toward the global rate, by prior strengths that the spread of the rates themselves sets (moments). The
-posterior odds of a document are the evidence odds times the site's odds over the global ones.
+host's and a host's toward the global rate, by prior strengths that the spread of the rates themselves sets (moments). A document's
+own label is left out of its site's counts. The posterior odds of a document, for quality and for toxicity alike, are the evidence
+odds times the site's odds over the global ones.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwave.llm.common import map_texts, mix, only_ids, stage_table, text_bytes, word_bounds, word_hashes
+from meshwave.llm.common import lookup, map_texts, mix, only_ids, stage_table, text_bytes, word_bounds, word_hashes
 
 #: Labelled texts that the evidence is learned from, half for the counts and half for the regression; site counts use all labels.
 TRAIN_LIMIT = 20_000
@@ -170,33 +171,43 @@ def train(labelled: DataFrame, label: str, limit: int = TRAIN_LIMIT) -> Model |
     return model
 
 
-def strength(rates: DataFrame, n: str, good: str) -> Column | float:
-    """Prior strength (a number of labels) from the spread of group rates: moments of a beta-binomial, kept within STRENGTH."""
-    row = rates.agg(F.sum(n), F.sum(good), F.count(F.lit(1)), F.sum(F.pow(F.col(n), 2)), F.sum(F.col(n) * F.pow(F.col(good) / F.col(n), 2))).first()
-    total, hits, groups, squares, spread = (float(x or 0) for x in row)
+def strength(rates: DataFrame, n: str, good: str, about: str | None = None) -> float:
+    """Prior strength (a number of labels) from the spread of group rates about the column `about`, or else about their common rate:
+    moments of a beta-binomial, kept within STRENGTH."""
+    center = F.lit(None).cast("double") if about is None else F.col(about)
+    rows = rates.select(F.col(n).cast("double").alias("n"), F.col(good).cast("double").alias("g"), center.alias("c"))
+    groups, total, hits, squares = (float(x or 0) for x in rows.agg(F.count(F.lit(1)), F.sum("n"), F.sum("g"), F.sum(F.col("n") * F.col("n"))).first())
     if groups < 2 or total <= groups:
         return STRENGTH[1]
-    p = hits / total
-    between = spread - total * p * p  # sum of n (rate - p)^2
-    within = p * (1 - p) * (groups - 1)
-    excess = (between - within) / max(total - squares / total, 1e-9)
+    c = F.coalesce("c", F.lit(hits / total))
+    between, within = (float(x or 0) for x in rows.agg(F.sum(F.col("n") * F.pow(F.col("g") / F.col("n") - c, 2)), F.sum(F.col("n") * c * (1 - c))).first())
+    spread = within / total  # p (1 - p), as the mean over labels
+    excess = (between - spread * (groups - 1)) / max(total - squares / total, 1e-9)
     if excess <= 0:
         return STRENGTH[1]
-    return float(np.clip(p * (1 - p) / excess - 1, *STRENGTH))
+    return float(np.clip(spread / excess - 1, *STRENGTH))
 
 
-def site_rates(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """labelled (host, path, y) to (host: host_rate), (host, path: path_rate) and the global rate. Null labels do not count; null
-    hosts and paths are groups of their own. Summed before the shuffle, so a host with a third of all rows is one row a task."""
-    counted = stage_table(labelled.where("y is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("good")), "site-counts")
-    hosts = counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    total, good = counted.agg(F.sum("n"), F.sum("good")).first()
+def site_counts(labelled: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """labelled (host, path, y) to (host, path: path_n, path_good, host_n, host_good; the global rate; strengths of host and path priors).
+    Null labels do not count; null hosts and paths are groups of their own. Summed before the shuffle, so a host with a third of all rows is
+    one row a task."""
+    counted = stage_table(labelled.where("y is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("path_n"), F.sum(F.col("y").cast("long")).alias("path_good")), "site-counts")
+    hosts = counted.groupBy("host").agg(F.sum("path_n").alias("host_n"), F.sum("path_good").alias("host_good"))
+    total, good = counted.agg(F.sum("path_n"), F.sum("path_good")).first()
     rate = ((good or 0) + 0.5) / ((total or 0) + 1.0)
-    k_host, k_path = strength(hosts, "n", "good"), strength(counted, "n", "good")
-    hosts = hosts.select("host", ((F.col("good") + F.lit(k_host * rate)) / (F.col("n") + F.lit(k_host))).alias("host_rate"))
     other = hosts.withColumnRenamed("host", "_host")
-    paths = counted.join(other, counted["host"].eqNullSafe(other["_host"])).select("host", "path", ((F.col("good") + F.lit(k_path) * F.col("host_rate")) / (F.col("n") + F.lit(k_path))).alias("path_rate"))
-    return hosts, paths, rate
+    sites = counted.join(other, counted["host"].eqNullSafe(other["_host"])).drop("_host")
+    k_host = strength(hosts, "host_n", "host_good")
+    return sites, rate, k_host, strength(sites.withColumn("_c", F.col("host_good") / F.col("host_n")), "path_n", "path_good", "_c")
+
+
+def shrunk(prefix: str, y: Column, rate: float, k_host: float, k_path: float) -> tuple[Column, Column]:
+    """(host rate, path rate) from the columns of site_counts under a prefix, the row's own label y left out where it has one."""
+    own, hit = F.when(y.isNotNull(), 1).otherwise(0), F.coalesce(y, F.lit(0))
+    count = lambda c: F.coalesce(F.col(prefix + c), F.lit(0))
+    host = (count("host_good") - hit + F.lit(k_host * rate)) / (count("host_n") - own + F.lit(k_host))
+    return host, (count("path_good") - hit + F.lit(k_path) * host) / (count("path_n") - own + F.lit(k_path))
 
 
 def _logit(p: Column) -> Column:
@@ -204,12 +215,14 @@ def _logit(p: Column) -> Column:
 
 
 def score(docs: DataFrame, labelled: DataFrame, limit: int = TRAIN_LIMIT, floor: float = 0.5, sample: DataFrame | None = None) -> DataFrame:
-    """docs (doc_id, text, host, path) and labelled (text, host, path, quality, toxic: 0 or 1) to a row for each of docs: doc_id,
+    """docs (doc_id, text, host, path) and labelled (doc_id, text, host, path, quality, toxic: 0 or 1) to a row for each of docs: doc_id,
     evidence, host_rate, path_rate, quality, toxic (probabilities) and keep (quality of at least `floor`, toxic below a half).
     sample (text, quality, toxic): what the evidence is learned from, where that is at hand; labelled then needs no text.
 
-    Null and empty texts have the evidence of a text without words; sites without labels have their host's rate, or the global one.
-    Without labels of both classes evidence and rates are 0.5. Repeated rows are scored each; other columns are not read.
+    Null and empty texts have the evidence of a text without words; sites without labels have their host's rate, or the global one; a
+    document with a label of its own at its site has the site's rate without it (of several labels of one id, the highest). Long texts are taken whole.
+    Without labels of both classes evidence and rates are 0.5. Repeated rows are scored each, and labelled rows that repeat count each;
+    nothing is ranked, so there are no ties; an empty table gives none; other columns are not read.
     """
     spark = docs.sparkSession
     good, bad = (train(labelled if sample is None else sample, c, limit) for c in ("quality", "toxic"))
@@ -225,14 +238,29 @@ def score(docs: DataFrame, labelled: DataFrame, limit: int = TRAIN_LIMIT, floor:
 
         return f
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("host").cast("string").alias("host"), F.col("path").cast("string").alias("path"))
+    site = [F.col(c).cast("string").alias(c) for c in ("host", "path")]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *site)
     scored = map_texts(own, "text", "doc_id long, host string, path string, _q double, _t double", make, 1 << 20)
-    hosts, paths, rate = site_rates(labelled.select(F.col("host").cast("string").alias("host"), F.col("path").cast("string").alias("path"), F.col("quality").alias("y")))
-    h, p = hosts.select(F.col("host").alias("_h1"), "host_rate"), paths.select(F.col("host").alias("_h2"), F.col("path").alias("_p2"), "path_rate")
-    joined = scored.join(h, F.col("host").eqNullSafe(F.col("_h1")), "left").join(p, F.col("host").eqNullSafe(F.col("_h2")) & F.col("path").eqNullSafe(F.col("_p2")), "left")
-    joined = joined.withColumn("host_rate", F.coalesce("host_rate", F.lit(rate))).withColumn("path_rate", F.coalesce("path_rate", "host_rate"))
-    quality = 1 / (1 + F.exp(-(F.col("_q") + _logit(F.col("path_rate")) - F.lit(float(np.log(rate / (1 - rate)))))))
-    out = joined.select("doc_id", (1 / (1 + F.exp(-F.col("_q")))).alias("evidence"), "host_rate", "path_rate", quality.alias("quality"), (1 / (1 + F.exp(-F.col("_t")))).alias("toxic"))
+    labels = labelled.groupBy(F.col("doc_id").cast("long").alias("_id"), *(c.alias(f"_{n}") for c, n in zip((F.col("host").cast("string"), F.col("path").cast("string")), ("host", "path"), strict=True))).agg(F.max(F.col("quality").cast("int")).alias("_yq"), F.max(F.col("toxic").cast("int")).alias("_yt")).where("_id is not null")
+    same = (scored["doc_id"] == labels["_id"]) & scored["host"].eqNullSafe(labels["_host"]) & scored["path"].eqNullSafe(labels["_path"])
+    scored = scored.join(labels, same, "left").select("doc_id", F.struct("host", "path").alias("site"), "_q", "_t", "_yq", "_yt")
+    scored = stage_table(scored, "scored")
+    # the sites of docs, each once, with their counts
+    sites = scored.groupBy("site").agg(F.count(F.lit(1)).alias("n")).select("site", "site.host", "site.path", "n")
+    priors = {}
+    for y, name in (("quality", "q_"), ("toxic", "t_")):
+        counts, *priors[name] = site_counts(labelled.select(*site, F.col(y).alias("y")))
+        hosts = counts.select(F.col("host").alias("_h"), F.col("host_n").alias(name + "host_n"), F.col("host_good").alias(name + "host_good")).distinct()
+        paths = counts.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("path_n").alias(name + "path_n"), F.col("path_good").alias(name + "path_good"))
+        sites = sites.join(hosts, sites["host"].eqNullSafe(hosts["_h"]), "left").drop("_h")
+        sites = sites.join(paths, sites["host"].eqNullSafe(paths["_h"]) & sites["path"].eqNullSafe(paths["_p"]), "left").drop("_h", "_p")
+    joined = lookup(scored, stage_table(sites.drop("host", "path"), "sites"), "site")
+    found = {}
+    for name, y, evidence in (("q_", "_yq", "_q"), ("t_", "_yt", "_t")):
+        rate = priors[name][0]
+        host, path = shrunk(name, F.col(y), *priors[name])
+        found[name] = host, path, 1 / (1 + F.exp(-(F.col(evidence) + _logit(path) - F.lit(float(np.log(rate / (1 - rate)))))))
+    out = joined.select("doc_id", (1 / (1 + F.exp(-F.col("_q")))).alias("evidence"), found["q_"][0].alias("host_rate"), found["q_"][1].alias("path_rate"), found["q_"][2].alias("quality"), found["t_"][2].alias("toxic"))
     return out.withColumn("keep", (F.col("quality") >= floor) & (F.col("toxic") < 0.5))
 
 
