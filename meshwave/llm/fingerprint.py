@@ -1,8 +1,12 @@
 """Order MinHash fingerprints in DataFrame functions.
 
-A text's k-mers are pairs of neighbouring words, numbered by occurrence. A tuple of the fingerprint holds the k-mers that two hash
-functions find smallest, in the order in which the text has them, hashed to 16 bits; so it changes with the words and with their order.
+A text's k-mers are pairs of neighbouring words, numbered by occurrence. A tuple of the fingerprint holds two k-mers of the smallest ranks
+under one hash order, in the order in which the text has them, hashed to 16 bits; so it changes with the words and with their order.
 Likeness is the share of equal tuples.
+
+The two are the smallest k-mer of either half, where a bit of the rank deals the k-mers to halves: so they are never the same k-mer, and
+in half of all cases they are the two smallest of all. The exact second smallest would need a state that no aggregate function of
+DataFrames has (they keep one minimum each), a second pass over all k-mers, or sorted lists, at more than the cost allowed.
 """
 
 from __future__ import annotations
@@ -28,12 +32,13 @@ def _let(value: Column, body) -> Column:
 def numbered_kmers(text: Column) -> Column:
     """array<long>: hash of (k-mer, occurrence), 36 bits, then the k-mer's place, 27 bits; one for each word, the last without a follower.
 
-    Equal k-mers become neighbours by a sort; an occurrence is the distance from the first of its run. Texts of up to 2^27 words.
+    Equal k-mers become neighbours by a sort; an occurrence is the distance from the first of its run. Texts of over 2^27 words raise.
     """
     last = F.lit(_MASK).cast("long")
 
     def place(tokens: Column) -> Column:
-        return F.transform(tokens, lambda w, i: F.shiftleft(F.xxhash64(w, F.get(tokens, i + 1)).bitwiseAND(F.lit(_HASH)), _POS).bitwiseOR(i.cast("long")))
+        placed = F.transform(tokens, lambda w, i: F.shiftleft(F.xxhash64(w, F.get(tokens, i + 1)).bitwiseAND(F.lit(_HASH)), _POS).bitwiseOR(i.cast("long")))
+        return F.when(F.size(tokens) <= _MASK, placed).otherwise(F.raise_error("a text has over 2^27 words").cast("array<bigint>"))
 
     def number(s: Column) -> Column:
         n = F.size(s)
@@ -63,11 +68,13 @@ def fingerprints(cells: DataFrame, keys: list[str], tuples: int = TUPLES) -> Dat
     Only fixed-size minima are kept for a text while its k-mers pass; null and empty arrays have the fingerprint of no k-mers."""
     rows = cells.select(*keys, F.explode_outer("cell").alias("_v"))
     kmer, at = F.shiftright(F.col("_v"), _POS), F.col("_v").bitwiseAND(F.lit(_MASK))
-    rank, keep = lambda j: F.xxhash64(F.lit(j), kmer), F.lit(~_MASK)
     minima = []
     for j in range(tuples):
-        minima.append(F.min(rank(j).bitwiseAND(keep).bitwiseOR(at)).alias(f"_a{j}"))
-        minima.append(F.min(F.shiftleft(rank(j), 30).bitwiseXOR(F.shiftrightunsigned(rank(j), 34)).bitwiseAND(keep).bitwiseOR(at)).alias(f"_b{j}"))
+        rank = F.xxhash64(F.lit(j), kmer)
+        placed = rank.bitwiseAND(F.lit(~_MASK)).bitwiseOR(at)
+        half = rank.bitwiseAND(F.lit(1)) == 0
+        minima.append(F.min(F.when(half, placed)).alias(f"_a{j}"))
+        minima.append(F.min(F.when(~half, placed)).alias(f"_b{j}"))
     found = rows.groupBy(*keys).agg(*minima)
     none = F.lit(0).cast("long")
     return found.select(*keys, F.concat(*(_tuple(F.coalesce(f"_a{j}", none), F.coalesce(f"_b{j}", none)) for j in range(tuples))).alias("fingerprint"))
@@ -143,3 +150,11 @@ def edited_fingerprints(docs: DataFrame, tuples: int = TUPLES) -> DataFrame:
 
 def op6_order_minhash(spark, sf_dir: str) -> DataFrame:
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: What SQL can say of the query: the number of code points and the edited text.
+EDITED_SQL = """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+o as (select doc_id, t, cast(length(t) as bigint) as n, coalesce(lead(t) over (order by doc_id, t), first_value(t) over (order by doc_id, t)) as nxt from d)
+select doc_id, n as n_chars, sha256(substr(t, 1, n - n // 2) || substr(nxt, 1, n // 2)) as edited_sha256 from o
+"""

@@ -87,3 +87,36 @@ def test_occurrences_against_brute_force(spark):
 def test_no_python_on_the_executors(spark, small):
     plan = P.op6_order_minhash(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_edited_text_in_sql(spark, small):
+    import oracle
+
+    df = P.op6_order_minhash(spark, small).select("doc_id", "n_chars", "edited_sha256")
+    assert not oracle.difference(df, oracle.connect(small), P.EDITED_SQL)
+
+
+def test_minima_and_tuples_against_brute_force(spark):
+    """Each tuple is that of the smallest k-mer of either half, in text order, by the ranks that Spark's hash gives."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(9)}" for _ in range(n)) for n in (1, 2, 3, 8, 40)] + [""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", P.numbered_kmers(F.col("text")).alias("cell"))
+    got = {r["k"]: r["fingerprint"] for r in P.fingerprints(df, ["k"], 8).collect()}
+    ranks = df.select("k", F.explode("cell").alias("v")).select("k", (F.col("v").bitwiseAND(F.lit((1 << 27) - 1))).alias("at"), F.shiftright("v", 27).alias("kmer")).crossJoin(spark.range(8).select(F.col("id").cast("int").alias("j"))).withColumn("rank", F.xxhash64("j", "kmer")).collect()
+    hashes, need = {}, set()
+    chosen = {}
+    for k in range(len(texts)):
+        for j in range(8):
+            mine = [(r["rank"] & ~((1 << 27) - 1), r["at"], r["kmer"], r["rank"] & 1) for r in ranks if (r["k"], r["j"]) == (k, j)]
+            two = [min(((a, b, c) for a, b, c, h in mine if h == half), default=(0, 0, 0)) for half in (0, 1)]
+            x, y = two
+            # what a tuple hashes are the ranks' upper bits; an absent half is 0
+            key = ((x[0] >> 27), (y[0] >> 27), None) if x[1] <= y[1] else ((y[0] >> 27), (x[0] >> 27), 1)
+            chosen[k, j] = key
+            need.add(key)
+    plain = spark.createDataFrame([k[:2] for k in need if k[2] is None] or [(0, 0)], "x long, y long").withColumn("h", F.xxhash64("x", "y")).collect()
+    turned = spark.createDataFrame([k[:2] for k in need if k[2]] or [(0, 0)], "x long, y long").withColumn("h", F.xxhash64("x", "y", F.lit(1))).collect()
+    hashes.update({(r["x"], r["y"], None): r["h"] for r in plain})
+    hashes.update({(r["x"], r["y"], 1): r["h"] for r in turned})
+    for k in range(len(texts)):
+        assert got[k] == "".join(f"{hashes[chosen[k, j]] & 0xFFFF:04X}" for j in range(8))
