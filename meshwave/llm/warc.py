@@ -2,7 +2,9 @@
 
 A record is a gzip member of its own. A reading task owns the byte range [start, end) of an archive: it looks for the gzip magic,
 accepts a place as a member only if what it inflates to begins with a WARC version line, and reads every record that starts in its
-range, past the range's end if need be. Archives lie in a folder that all executors see.
+range, past the range's end if need be. It looks from BACK bytes before its range on, and follows members from one end to the next: so
+a member inside a record's data is not taken for a record, unless that data covers all of those bytes. Archives lie in a folder that
+all executors see.
 """
 
 from __future__ import annotations
@@ -17,12 +19,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwave.llm.common import scratch_dir
+from meshwave.llm.common import id_filter, keep_track, maybe_in, partitions, scratch_dir, stage_table
 
 MIN_REVISIT = 100
 SPLIT = 8 << 20
 SALT = 32
+RANGES = 8
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes before a range from which its first record is looked for.
+BACK = 1 << 20
+#: Bytes after which a task goes on with another archive.
+ARCHIVE = 1 << 30
 _WINDOW = 1 << 20
 
 
@@ -72,40 +79,53 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, html, digest, size, refers_to (null for responses). Of equal payloads of at least min_bytes the smallest page_id is
     the response; rows that share that id are all responses. Null ids never win; a group of null ids alone has responses only.
 
-    Digests are counted before the shuffle; pages of one digest are spread over SALT keys.
+    Empty and null html are payloads of no bytes; long ones are taken whole; equal rows get a record each; an empty table gives none.
+    Digests are counted before the shuffle. Pages whose digest stands alone, but for few that a Bloom filter cannot tell, are not shuffled;
+    the others are spread over SALT keys a digest.
     """
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html").cast("long"))
-    again = (
-        own.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null")
-        .select("digest", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-    )
-    salted = own.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
-    joined = salted.join(again, ["digest", "_salt"], "left")
+    again = own.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null")
+    again = stage_table(again.select("digest", "_first"), "payloads")
+    names = ["page_id", "url", "html", "digest", "size"]
+    maybe = maybe_in(id_filter(again.select(F.xxhash64("digest").alias("_d")).distinct(), "_d"), "_d")
+    hashed = own.withColumn("_d", F.xxhash64("digest"))
+    salted = hashed.where(maybe).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    joined = salted.join(again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["digest", "_salt"], "left")
     refers = F.when(F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first"))
-    return joined.select("page_id", "url", "html", "digest", "size", refers.alias("refers_to"))
+    return hashed.where(~maybe).select(*names, F.lit(None).cast("long").alias("refers_to")).union(joined.select(*names, refers.alias("refers_to")))
 
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Write one archive for each partition; returns (path, bytes) of those, one row each. A task that runs again replaces its archive."""
+    """Write archives of about ARCHIVE bytes, one at least for each partition with pages; returns (path, bytes) of those, one row each. A
+    task that runs again replaces its archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        path = f"{folder}/part-{task.partitionId():06d}.warc.gz"
-        temporary = f"{path}.{task.taskAttemptId()}.part"
-        total, out = 0, None
+        total, number, out, path, temporary = 0, 0, None, "", ""
+
+        def close():
+            nonlocal out, number
+            out.close()
+            _publish(temporary, path)
+            out, number = None, number + 1
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([total])], names=["path", "bytes"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 page_id, url, html, digest, size, refers_to = (c[i].as_py() for c in batch.columns)
                 data = record("revisit" if refers_to is not None else "response", page_id, url, html.encode(), digest, size, refers_to)
-                out = out or _open(temporary, "wb")
+                if out is None:
+                    path, total = f"{folder}/part-{task.partitionId():06d}-{number:04d}.warc.gz", 0
+                    temporary = f"{path}.{task.taskAttemptId()}.part"
+                    out = _open(temporary, "wb")
                 out.write(data)
                 total += len(data)
+                if total >= ARCHIVE:
+                    yield close()
         if out:
-            out.close()
-            _publish(temporary, path)
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([total])], names=["path", "bytes"])
+            yield close()
 
     return mark_revisits(pages, min_bytes).mapInArrow(run, "path string, bytes long")
 
@@ -131,8 +151,8 @@ def _begins_record(data: bytes) -> bool:
 
 def read_range(handle, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(place, header, block) of the records that start in [start, end). Memory: a window and one record."""
-    handle.seek(start)
-    at, data = start, b""  # data: the file's bytes from `at`
+    at, data = max(0, start - BACK), b""  # data: the file's bytes from `at`
+    handle.seek(at)
 
     def more() -> bool:
         nonlocal data
@@ -178,6 +198,8 @@ def read_range(handle, start: int, end: int) -> Iterator[tuple[int, dict[str, st
             continue
         rest = z.unused_data
         place, at, data = at, at + used - len(rest), rest
+        if place < start:
+            continue
         whole = b"".join(parts)
         head = parse_head(whole)
         if head is None:
@@ -236,18 +258,23 @@ def read_warc(ranges: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def make_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the staged tables, deleted with them."""
     folder = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    keep_track(folder)
     return folder
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT, split: int = SPLIT) -> DataFrame:
-    """Write the pages to archives in the shared folder and read those back by byte ranges, without payloads."""
+    """Write the pages (page_id, url, html) to archives in the shared folder and read those back by byte ranges, without payloads: a row
+    for each page. Nulls, empty and long html, equal rows and ties as mark_revisits says; an empty table gives none; other columns are not
+    read. Ranges are dealt to at most RANGES * spark.sql.shuffle.partitions tasks, several to each."""
     spark = pages.sparkSession
-    archives = [(r["path"], r["bytes"]) for r in write_warc(pages, make_folder(spark, "warc"), min_bytes).collect()]  # one row a partition
-    ranges = splits(spark, spark.createDataFrame(archives, "path string, bytes long"), split)
-    return read_warc(ranges.repartition(max(1, sum(-(-b // split) for _, b in archives))), payloads=False)
+    archives = stage_table(write_warc(pages, make_folder(spark, "warc"), min_bytes), "archives")
+    ranges = splits(spark, archives, split)
+    count = archives.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
+    return read_warc(ranges.repartition(int(min(count, RANGES * partitions(spark)))), payloads=False)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import io
+import os
+import random
 
 import oracle
 import pytest
@@ -43,3 +45,27 @@ def test_ranges_partition_the_records():
     assert len(whole) == 12
     for size in (1, 13, 97, 1000):
         assert [p for a in range(0, len(noise), size) for p, _, _ in warc.read_range(io.BytesIO(noise), a, min(a + size, len(noise)))] == whole
+
+
+def test_an_archive_inside_a_record():
+    """A record whose data holds WARC members, stored as they are, is one record, wherever ranges begin."""
+    rng = random.Random(0)
+    inner = warc.record("response", 77, "inner", b"inside", "0", 6, None)
+    payload = rng.randbytes(60_000) + inner + rng.randbytes(60_000)
+    body = b"".join(warc.record("response", i, "u", payload if i == 1 else b"plain" * i, "0", 0, None) for i in range(4))
+    assert inner in body  # random bytes are stored
+    for size in (1_000, 40_000, 10**6):
+        got = [h["warc-record-id"] for a in range(0, len(body), size) for _, h, _ in warc.read_range(io.BytesIO(body), a, min(a + size, len(body)))]
+        assert got == [f"<urn:page:{i}>" for i in range(4)]
+
+
+def test_archives_roll_and_go(spark, monkeypatch):
+    """Archives end at a size, all ranges go to few tasks, and release() deletes them."""
+    from meshwave.llm import common
+
+    monkeypatch.setattr(warc, "ARCHIVE", 500)
+    df = rows(spark, [(i, f"u{i}", "αβγ" * i, None, None) for i in range(30)])
+    mark = common.staged()
+    folder = warc.make_folder(spark, "warc")
+    archives = warc.write_warc(df, folder)
+    assert archives.count() >= 4 and common.release(spark, mark) == 2 and not os.path.exists(folder.removeprefix("file:"))
