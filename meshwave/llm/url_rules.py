@@ -1,12 +1,14 @@
 """URL filters: stated host and path rules, and association rules between URL tokens and a block label, mined by FP-growth.
 
-Frequent token sets of blocked URLs are the candidates; how many labelled URLs have them is counted through an inverted index: a set hangs
-on its rarest token, and the URLs that have that token are tested for the rest. Support, confidence and a gain over every part of a
-rule prune them. Rules are matched by the same index.
+Frequent token sets of labelled URLs give rules `tokens -> block`; support among the blocked, confidence and a gain over every part of
+the rule prune them. Rules are matched through an inverted index: each hangs on its rarest token, and the URLs that have that token are
+tested for the rest.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ MIN_COUNT = 20
 MIN_SHARE = 0.01
 MIN_CONFIDENCE = 0.6
 GAIN = 0.05
+#: Tokens that more than this share of the labelled URLs have tell nothing, and are in no rule.
+USUAL = 0.95
+LABEL = "label=block"
 #: Rules that may be broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 20_000
 #: (host, path, verdict)
@@ -96,23 +101,33 @@ def mine_rules(labelled: DataFrame, min_share: float = MIN_SHARE, min_confidence
     """labelled (url, blocked) to rules: items (array of tokens, sorted), confidence, support (number of blocked URLs), anchor (its rarest token).
 
     All labelled rows count, repeats too; null labels and urls without host do not. Candidates are the token sets that min_count blocked
-    URLs and min_share of them have. A rule stays if its confidence is at least min_confidence, above the share of blocked URLs by `gain`,
+    URLs and min_share of them have; of tokens that the very same URLs have the first by name stands for all, and tokens of over USUAL
+    of the URLs are left out. A rule stays if its confidence is at least min_confidence, above the share of blocked URLs by `gain`,
     and no rule of a part of its tokens comes within `gain` of it. No rules without blocked URLs, or of an empty table.
     """
     spark = labelled.sparkSession
-    baskets = stage_table(labelled.where(F.col("blocked").isNotNull()).select(url_tokens(F.col("url")).alias("tokens"), "blocked").where(F.size("tokens") > 0), "baskets")
+    baskets = labelled.where(F.col("blocked").isNotNull()).select(url_tokens(F.col("url")).alias("tokens"), "blocked").where(F.size("tokens") > 0)
+    baskets = stage_table(baskets.withColumn("id", F.monotonically_increasing_id()), "baskets")
     total, blocked = baskets.agg(F.count(F.lit(1)), F.sum(F.col("blocked").cast("long"))).first()
     empty = spark.createDataFrame([], "items array<string>, confidence double, support long, anchor string")
     if not blocked or min_count > blocked:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(min_share, min_count / blocked), minConfidence=1.0).fit(baskets.where("blocked").select(F.col("tokens").alias("items")))
-    sets = stage_table(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support")), "sets")
-    tokens = baskets.select(F.explode("tokens").alias("token")).join(F.broadcast(sets.where("size(items) = 1").select(F.element_at("items", 1).alias("token"))), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    sets = stage_table(_indexed(sets, tokens), "candidates")
-    # few sets have much over the blocked share among their token's URLs: the rest of the pass is counting
-    counted = _fitting(baskets.where("not blocked").select("tokens"), sets).groupBy("items").agg(F.count(F.lit(1)).alias("_other"))
-    rules = sets.join(counted, "items", "left").withColumn("confidence", F.col("support") / (F.col("support") + F.coalesce("_other", F.lit(0))))
-    rules = stage_table(rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= blocked / total + gain)).drop("_other"), "rules")
+    least = max(min_count, math.ceil(min_share * blocked - 1e-9))
+    each = baskets.select("id", "blocked", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("long")).alias("_b"), F.bit_xor(F.xxhash64("id")).alias("_who"))
+    counts = counts.where((F.col("_b") >= least) & (F.col("n") <= USUAL * total)).groupBy("n", "_who").agg(F.min("token").alias("token")).select("token", "n")
+    # a token has min_share of the blocked URLs at least, so there are at most (tokens of a URL) / min_share of them
+    tokens = stage_table(counts, "tokens")
+    items = stage_table(each.join(F.broadcast(tokens), "token").groupBy("id").agg(F.collect_list("token").alias("tokens"), F.max("blocked").alias("blocked")), "items")
+    rows = items.count()
+    if not rows:
+        return empty
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows, minConfidence=1.0).fit(items.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items")))
+    sets = stage_table(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "sets")
+    hit = sets.where(F.array_contains("items", LABEL) & (F.size("items") > 1)).select(F.array_remove("items", LABEL).alias("items"), F.col("freq").alias("support"))
+    rules = hit.join(sets.where(~F.array_contains("items", LABEL)), "items").withColumn("confidence", F.col("support") / F.col("freq")).drop("freq")
+    rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= blocked / total + gain))
+    rules = stage_table(_indexed(rules, tokens), "rules")
     parts = rules.select(F.col("items").alias("_part"), F.col("confidence").alias("_c"), F.col("anchor").alias("_first"))
     # a part's anchor is among the rule's tokens
     smaller = rules.select("items", "confidence", F.explode("items").alias("_first")).join(parts, "_first")

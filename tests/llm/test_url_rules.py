@@ -32,6 +32,16 @@ def test_rules_against_brute_force(spark):
     found = {tuple(r["items"]): r for r in U.mine_rules(df, min_share=0.05).collect()}
     tokens = [frozenset(r[0]) for r in df.select(U.url_tokens(df["url"])).collect()]
     label = [b for _, b in rows]
+    # tokens of the very same urls are one, and those of nearly all none
+    where = {}
+    for i, t in enumerate(tokens):
+        for x in t:
+            where.setdefault(x, []).append(i)
+    first = {}
+    for x in sorted(where):
+        first.setdefault(tuple(where[x]), x)
+    useful = {x for w, x in first.items() if len(w) <= U.USUAL * len(rows)}
+    tokens = [t & useful for t in tokens]
     blocked = [t for t, b in zip(tokens, label, strict=True) if b]
     counts = {}
     for t in blocked:
@@ -76,8 +86,8 @@ def test_edge_cases(spark):
     data = [(1, "http://bad1.example.org/x/5"), (2, None), (3, "no url"), (4, "HTTP://WWW.Example.COM/en/a?b#c"), (5, "http://a.net"), (6, "x://a.net/es/1"), (7, "http://example.com/de"), (8, "://"), (9, "a://b://net/fr/"), (9, "a://b://net/fr/"), (None, "http://x.com/\n?q"), (10, "http://h#://net/es/"), (11, ""), (12, "http://É.com/" + "p" * 100_000)]
     pages = spark.createDataFrame([(*d, "h", "r") for d in data], "page_id long, url string, host string, rule string")
     got = sorted(((r["page_id"], r["host"], r["path"][:9], r["rule"], r["verdict"]) for r in U.judge_urls(pages, labelled(spark)).collect()), key=str)
-    want = [(1, "bad1.example.org", "/x/5", None, "block"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "www.example.com", "/en/a", "www.example.com/en/", "allow"), (5, "a.net", "", None, "block"), (6, "a.net", "/es/1", "net/es/", "block"),
-            (7, "example.com", "/de", "com/", "allow"), (8, "", "", None, "allow"), (9, "b:", "//net/fr/", None, "allow"), (9, "b:", "//net/fr/", None, "allow"), (None, "x.com", "/\n", "com/", "allow"), (10, "h", "", None, "block"), (11, "", "", None, "allow"), (12, "É.com", "/pppppppp", "com/", "allow")]
+    want = [(1, "bad1.example.org", "/x/5", None, "block"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "www.example.com", "/en/a", "www.example.com/en/", "allow"), (5, "a.net", "", None, "allow"), (6, "a.net", "/es/1", "net/es/", "block"),
+            (7, "example.com", "/de", "com/", "allow"), (8, "", "", None, "allow"), (9, "b:", "//net/fr/", None, "allow"), (9, "b:", "//net/fr/", None, "allow"), (None, "x.com", "/\n", "com/", "allow"), (10, "h", "", None, "allow"), (11, "", "", None, "allow"), (12, "É.com", "/pppppppp", "com/", "allow")]
     assert got == sorted(want, key=str)
     assert U.judge_urls(pages.limit(0), labelled(spark)).count() == 0
     assert U.judge_urls(pages, labelled(spark).limit(0)).where("verdict = 'block'").count() == 1
