@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-BATCH = 8 << 20
+BATCH = 4 << 20
 HOT_KEYS = 1000
 LEAST_HOT = 2000
 FILTER_BITS = 26
@@ -29,9 +29,13 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one temporary folder for the session."""
+    """The folder of spark.checkpoint.dir; where that is unset in local mode (tests), one temporary folder for the session. A cluster must
+    set it: a folder of the driver's machine would not do."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         root = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="meshwave-scratch-") if spark.sparkContext.applicationId not in _OWN else "")
     return root.rstrip("/")
 
@@ -196,7 +200,7 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[np
     return mix(h), begin
 
 
-def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], limit: int = 2 << 20) -> DataFrame:
+def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], limit: int = 1 << 20) -> DataFrame:
     """Run make()'s function over slices of about `limit` bytes of `column`, in Arrow batches of BATCH bytes. One task holds one batch
     and one slice at a time."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
@@ -208,6 +212,7 @@ def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callab
                 out = f(part)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -20,8 +20,8 @@ LEAST_OF_LANGUAGE = 200
 SWITCH = 9.0
 BITS = 16
 #: Bytes of text that are scored together, with up to four languages; with more, fewer.
-SLICE = 12 << 20
-PART = 1 << 20
+SLICE = 4 << 20
+PART = 1 << 19
 
 #: First and last code point of scripts; several ranges may be one script. A letter of none of them is of the last script, 31.
 _RANGES = [
@@ -159,7 +159,7 @@ def train(labelled: DataFrame, limit: int = TRAIN_LIMIT) -> Model:
 
         return f
 
-    counted = map_texts(chosen.select("text", "lang"), "text", "key long, n long", make, 2 << 20).groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    counted = map_texts(chosen.select("text", "lang"), "text", "key long, n long", make, 1 << 20).groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     key, n = counted["key"].to_numpy(np.int64), counted["n"].to_numpy(float)
     table, lang, slot = (key >> BITS) // max(len(langs), 1), (key >> BITS) % max(len(langs), 1), key & ((1 << BITS) - 1)
     # languages with words
