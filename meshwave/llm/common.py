@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-BATCH = 4 << 20
+BATCH = 2 << 20
 HOT_KEYS = 1000
 LEAST_HOT = 2000
 FILTER_BITS = 26
