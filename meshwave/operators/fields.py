@@ -95,7 +95,8 @@ def _fit_one(f: arrays.Field, kernel, start: dict, method: str, max_iter: int, s
     both = lambda x: f.value_and_score(kernel, kernel.theta(x), names)
     if method in ("evolution", "annealing", "direct"):
         rng = np.random.default_rng([seed, mark])
-        x0, _ = {"evolution": arrays.differential_evolution, "annealing": arrays.dual_annealing, "direct": arrays.divide_rectangles}[method](value, bounds, rng)
+        found, _ = {"evolution": arrays.differential_evolution, "annealing": arrays.dual_annealing, "direct": arrays.divide_rectangles}[method](value, bounds, rng)
+        return min((arrays.minimise(both, x, bounds, max_iter) for x in (found, x0)), key=lambda r: r[1])
     if method == "nelder-mead":
         return arrays.nelder_mead(value, x0, bounds, max_iter * 4)
     if method == "least-squares":
@@ -133,7 +134,8 @@ def fit(field: DataFrame, grid: GridSpec, keys: list[str], kernel, start: dict |
     the spectral likelihood. taper: weights over the grid, times g.
 
     method: lbfgs (with gradients; small fields together), nelder-mead, least-squares (the relative residuals of the periodogram),
-    evolution, annealing and direct (searches without a start, seeded by the field's key, then lbfgs).
+    evolution, annealing and direct (searches, seeded by the field's key; then lbfgs from what they find and from the start, and
+    the better of both).
     """
     if grid.n_points <= ARRAYS:
         return fit_vectors(as_arrays(field, grid, keys), grid, keys, kernel, start, method, max_iter, seed, covariance, taper)
