@@ -22,6 +22,7 @@ TUPLES = 64
 _POS = 27
 _HASH = (1 << 36) - 1
 _MASK = (1 << _POS) - 1
+_TOP = (1 << 63) - 1
 
 
 def _let(value: Column, body) -> Column:
@@ -71,13 +72,14 @@ def fingerprints(cells: DataFrame, keys: list[str], tuples: int = TUPLES) -> Dat
     minima = []
     for j in range(tuples):
         rank = F.xxhash64(F.lit(j), kmer)
-        placed = rank.bitwiseAND(F.lit(~_MASK)).bitwiseOR(at)
-        half = rank.bitwiseAND(F.lit(1)) == 0
-        minima.append(F.min(F.when(half, placed)).alias(f"_a{j}"))
-        minima.append(F.min(F.when(~half, placed)).alias(f"_b{j}"))
+        placed = rank.bitwiseAND(F.lit(_TOP & ~_MASK)).bitwiseOR(at)
+        # all ones for the half that the k-mer is not in; without a branch, so that the hash is computed once
+        other = F.shiftrightunsigned(-rank.bitwiseAND(F.lit(1)), 1)
+        minima.append(F.min(placed.bitwiseOR(other)).alias(f"_a{j}"))
+        minima.append(F.min(placed.bitwiseOR(other.bitwiseXOR(F.lit(_TOP)))).alias(f"_b{j}"))
     found = rows.groupBy(*keys).agg(*minima)
-    none = F.lit(0).cast("long")
-    return found.select(*keys, F.concat(*(_tuple(F.coalesce(f"_a{j}", none), F.coalesce(f"_b{j}", none)) for j in range(tuples))).alias("fingerprint"))
+    own = lambda c: F.when(F.col(c) < F.lit(_TOP), F.col(c)).otherwise(F.lit(0).cast("long"))  # noqa: E731  a half without k-mers: 0
+    return found.select(*keys, F.concat(*(_tuple(own(f"_a{j}"), own(f"_b{j}")) for j in range(tuples))).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, tuples: int = TUPLES) -> Column:

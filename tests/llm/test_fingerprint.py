@@ -107,7 +107,7 @@ def test_minima_and_tuples_against_brute_force(spark):
     chosen = {}
     for k in range(len(texts)):
         for j in range(8):
-            mine = [(r["rank"] & ~((1 << 27) - 1), r["at"], r["kmer"], r["rank"] & 1) for r in ranks if (r["k"], r["j"]) == (k, j)]
+            mine = [(r["rank"] & ((1 << 63) - 1) & ~((1 << 27) - 1), r["at"], r["kmer"], r["rank"] & 1) for r in ranks if (r["k"], r["j"]) == (k, j)]
             two = [min(((a, b, c) for a, b, c, h in mine if h == half), default=(0, 0, 0)) for half in (0, 1)]
             x, y = two
             # what a tuple hashes are the ranks' upper bits; an absent half is 0
