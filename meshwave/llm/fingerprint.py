@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from meshwave.llm.common import partitions
 
 TUPLES = 64
+#: Tuples whose minima are taken in one row.
+SLICE = 16
 _POS = 27
 _HASH = (1 << 36) - 1
 _MASK = (1 << _POS) - 1
@@ -64,22 +66,44 @@ def _tuple(a: Column, b: Column) -> Column:
     return F.lpad(F.hex(ordered.bitwiseAND(F.lit(0xFFFF))), 4, "0")
 
 
-def fingerprints(cells: DataFrame, keys: list[str], tuples: int = TUPLES) -> DataFrame:
-    """cells: keys, which name a row, and cell (array<long> of numbered_kmers); returns keys and fingerprint (4 hex digits a tuple).
-    Only fixed-size minima are kept for a text while its k-mers pass; null and empty arrays have the fingerprint of no k-mers."""
-    rows = cells.select(*keys, F.explode_outer("cell").alias("_v"))
+def _minima(rows: DataFrame, keys: list[str], tuples: int) -> DataFrame:
+    """keys, _g and, for each tuple _g + j of a slice, _a{j} and _b{j}, the smallest k-mers of either half; rows: keys and _v, one k-mer.
+
+    Tuples go in slices of equal width, at most SLICE: generated code of more columns is not compiled as one, and runs at half the speed.
+    """
+    width = -(-tuples // -(-tuples // SLICE))
+    rows = rows.select(*keys, "_v", F.explode(F.array(*(F.lit(g) for g in range(0, tuples, width)))).alias("_g"))
     kmer, at = F.shiftright(F.col("_v"), _POS), F.col("_v").bitwiseAND(F.lit(_MASK))
     minima = []
-    for j in range(tuples):
-        rank = F.xxhash64(F.lit(j), kmer)
+    for j in range(width):
+        rank = F.xxhash64(F.col("_g") + F.lit(j), kmer)
         placed = rank.bitwiseAND(F.lit(_TOP & ~_MASK)).bitwiseOR(at)
         # all ones for the half that the k-mer is not in; without a branch, so that the hash is computed once
         other = F.shiftrightunsigned(-rank.bitwiseAND(F.lit(1)), 1)
         minima.append(F.min(placed.bitwiseOR(other)).alias(f"_a{j}"))
         minima.append(F.min(placed.bitwiseOR(other.bitwiseXOR(F.lit(_TOP)))).alias(f"_b{j}"))
-    found = rows.groupBy(*keys).agg(*minima)
+    return rows.groupBy(*keys, "_g").agg(*minima)
+
+
+def _slices(minima: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _g and _part, the tuples of the slice in hex digits."""
+    width = sum(c.startswith("_a") for c in minima.columns)
     own = lambda c: F.when(F.col(c) < F.lit(_TOP), F.col(c)).otherwise(F.lit(0).cast("long"))  # noqa: E731  a half without k-mers: 0
-    return found.select(*keys, F.concat(*(_tuple(own(f"_a{j}"), own(f"_b{j}")) for j in range(tuples))).alias("fingerprint"))
+    return minima.select(*keys, "_g", F.concat(*(_tuple(own(f"_a{j}"), own(f"_b{j}")) for j in range(width))).alias("_part"))
+
+
+def _whole(tuples: int, of: Column | None = None) -> Column:
+    """The fingerprint of the slices of a group, of those alone that `of` is true for."""
+    width = -(-tuples // -(-tuples // SLICE))
+    parts = [F.max(F.when(F.col("_g") == g if of is None else of & (F.col("_g") == g), F.col("_part"))) for g in range(0, tuples, width)]
+    return F.substring(F.concat(*parts), 1, 4 * tuples)
+
+
+def fingerprints(cells: DataFrame, keys: list[str], tuples: int = TUPLES) -> DataFrame:
+    """cells: keys, which name a row, and cell (array<long> of numbered_kmers); returns keys and fingerprint (4 hex digits a tuple).
+    Only fixed-size minima are kept for a text while its k-mers pass; null and empty arrays have the fingerprint of no k-mers."""
+    rows = cells.select(*keys, F.explode_outer("cell").alias("_v"))
+    return _slices(_minima(rows, keys, tuples), keys).groupBy(*keys).agg(_whole(tuples).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, tuples: int = TUPLES) -> Column:
@@ -137,12 +161,26 @@ def edited_fingerprints(docs: DataFrame, tuples: int = TUPLES) -> DataFrame:
     both, order = with_next(own)
     n, half = F.char_length("text"), F.expr("cast(char_length(text) div 2 as int)")
     ready = both.withColumn("rn", F.row_number().over(order)).withColumn("_next", F.coalesce(F.lead("text").over(order), F.lit("")))
-    ready = ready.select("bucket", "rn", "doc_id", "extra", n.cast("long").alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("_next"), F.lit(1), half)).alias("_edited"))
-    keys = ["bucket", "rn", "doc_id", "extra", "n_chars", "sha", "v"]
+    kept = F.substring(F.col("text"), F.lit(1), n - half)
+    # k-mers before `same` are of words that end within what is kept: both texts have them at the same places, by the same numbers
+    same = F.greatest(F.size(F.split(kept, r"\s+")) - 2, F.lit(0)).alias("same")
+    ready = ready.select("bucket", "rn", "doc_id", "extra", n.cast("long").alias("n_chars"), "text", same, F.concat(kept, F.substring(F.col("_next"), F.lit(1), half)).alias("_edited"))
+    # keys of a k-mer are numbers, the digest too
+    sha = [f"sha{i}" for i in range(4)]
+    keys = ["bucket", "rn", "doc_id", "extra", "n_chars", *sha]
     sides = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("_edited").alias("t")))
-    cells = ready.select("bucket", "rn", "doc_id", "extra", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("sha"), F.inline(sides))
-    found = fingerprints(cells.select(*keys, numbered_kmers(F.col("t")).alias("cell")), keys, tuples)
-    paired = found.groupBy(*keys[:-1]).agg(F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    hashed = ready.withColumn("sha", F.sha2(F.col("_edited").cast("binary"), 256))
+    cells = hashed.select(*keys[:5], *(F.conv(F.substring("sha", 1 + 16 * i, 16), 16, -10).cast("long").alias(c) for i, c in enumerate(sha)), "same", F.inline(sides))
+    rows = cells.select(*keys, "same", "v", F.explode_outer(numbered_kmers(F.col("t"))).alias("_v"))
+    early = F.col("_v").bitwiseAND(F.lit(_MASK)) < F.col("same")
+    # part 0: k-mers of both, taken from the text; 1: those of the text alone; 2: of the edited text alone
+    parts = rows.where(~(early & (F.col("v") == 1))).select(*keys, F.when(early, 0).otherwise(F.col("v") + 1).alias("part"), "_v")
+    of_parts = _minima(parts, [*keys, "part"], tuples)
+    of_both = of_parts.withColumn("v", F.explode(F.when(F.col("part") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("part") - 1))))
+    minima = [c for c in of_parts.columns if c.startswith(("_a", "_b"))]
+    found = of_both.groupBy(*keys, "v", "_g").agg(*(F.min(c).alias(c) for c in minima))
+    paired = _slices(found, [*keys, "v"]).groupBy(*keys).agg(_whole(tuples, F.col("v") == 0).alias("fingerprint"), _whole(tuples, F.col("v") == 1).alias("edited_fingerprint"))
+    paired = paired.withColumn("sha", F.lower(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in sha))))
     paired = paired.withColumn("_next", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("rn")))
     return paired.where(~F.col("extra")).select(
         "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint",

@@ -120,3 +120,30 @@ def test_minima_and_tuples_against_brute_force(spark):
     hashes.update({(r["x"], r["y"], 1): r["h"] for r in turned})
     for k in range(len(texts)):
         assert got[k] == "".join(f"{hashes[chosen[k, j]] & 0xFFFF:04X}" for j in range(8))
+
+
+def test_aggregates_are_compiled(spark, small):
+    """No aggregate has over 100 columns: Spark compiles none that has. K-mers of the part that a text and its edited text share are ranked once."""
+    df = P.op6_order_minhash(spark, small)
+    nodes, widths = [df._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Aggregate":
+            widths.append(node.output().size())
+    assert widths and max(widths) <= int(spark.conf.get("spark.sql.codegen.maxFields"))
+
+
+def test_parts_of_two_texts(spark):
+    """Fingerprints by parts are those of the whole text and the whole edited text, whatever is at the place where one is cut."""
+    rng = random.Random(7)
+    texts = ["", "a", " ", "a b", "ab cd ef gh", "  lead ing", "trail ing  ", "x " * 40, "same same same same"] + ["".join(rng.choice("ab  ") for _ in range(n)) for n in range(1, 40)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in run(spark, rows)}
+    both = []
+    for i, t in rows:
+        h = len(t) // 2
+        both += [(i, 0, t), (i, 1, t[: len(t) - h] + texts[(i + 1) % len(texts)][:h])]
+    df = spark.createDataFrame(both, "k long, v int, text string").select("k", "v", P.numbered_kmers(F.col("text")).alias("cell"))
+    want = {(r["k"], r["v"]): r["fingerprint"] for r in P.fingerprints(df, ["k", "v"]).collect()}
+    assert all((got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (want[i, 0], want[i, 1]) for i, _ in rows)
